@@ -57,10 +57,24 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"), spark.sql(URL_RULES))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.secret_scan import KINDS, scan
+
+    found = scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(F.expr(f"filter(spans, s -> s.base and s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
     "op3_url_filter": op3_url_filter,
+    "op4_secrets": op4_secrets,
 }
 
 ORACLES: dict[str, str] = {}
