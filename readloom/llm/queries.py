@@ -70,11 +70,19 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.substring import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
     "op3_url_filter": op3_url_filter,
     "op4_secrets": op4_secrets,
+    "op6_substring": op6_substring,
 }
 
 ORACLES: dict[str, str] = {}
