@@ -77,12 +77,20 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.neardup import near_duplicates
+
+    out = near_duplicates(_table(spark, sf_dir, "documents"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
     "op3_url_filter": op3_url_filter,
     "op4_secrets": op4_secrets,
     "op6_substring": op6_substring,
+    "op7_neardup": op7_neardup,
 }
 
 ORACLES: dict[str, str] = {}
