@@ -84,13 +84,31 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.labelled import labelled_sample
+    from readloom.llm.toxicity import score, train
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    out = score(docs, train(labelled_sample(docs, labels, "toxic", where=~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.decontam import find_items
+
+    return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
     "op3_url_filter": op3_url_filter,
     "op4_secrets": op4_secrets,
+    "op5_toxicity": op5_toxicity,
     "op6_substring": op6_substring,
     "op7_neardup": op7_neardup,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
