@@ -3,9 +3,9 @@
 Both zstandard dictionaries begin with the commonest words. The ordinary one goes on with more ordinary words; the toxic
 one, in the same space, with the segments that tell toxic training documents apart: word beginnings that are frequent
 there and nearly absent elsewhere, found by document counts. (A trainer run on the whole texts gives two dictionaries that
-hardly differ, as only about one word in a hundred does.) Each window is compressed behind a carrier that both hold, so
-that even a short one is coded by matches. A window counts if it saves at least a threshold of bytes; the threshold and
-the weights of count, share and largest saving are calibrated on the training documents.
+hardly differ, as only about one word in a hundred does.) Each window is compressed between frames that both hold. A window counts if it saves at least
+the bytes that are set for its length; these thresholds and the weights of count, share and largest saving are calibrated
+on the training documents.
 
 Windows of one word have the least noise: longer ones also save or lose bytes where ordinary words meet by chance.
 """
@@ -13,7 +13,7 @@ Windows of one word have the least noise: longer ones also save or lose bytes wh
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,11 +26,20 @@ from readloom.llm.shared import text_slices
 
 WINDOW_WORDS = 1
 COMMON_WORDS = 2500
-MIN_SHARE = 0.02  # of toxic documents, for a segment
+MIN_SHARE = 0.04  # of toxic documents, for a segment
 MAX_RATIO = 0.02  # of its share of ordinary documents to that
 SEGMENT = (3, 14)  # letters
 CACHED_WINDOWS = 200_000
-CARRIER = b" qzvxkjwy qzvxkjwy zqxjvkyw zqxjvkyw "
+#: Each window stands between parts of this, which both dictionaries hold, so that it is coded by matches however short it
+#: is; zstandard looks for no matches in the last eight bytes.
+FRAME = b" qzvxkjwy qzvxkjwy zqxjvkyw zqxjvkyw "
+TAIL = FRAME[:19]
+LENGTHS = 17  # windows of more bytes share a threshold
+RATIOS = (3, 10, 30, 100)  # how much more frequent in toxic text savings must be to count
+CACHED_WINDOWS = 200_000
+#: Each window stands between two of these, which both dictionaries hold, so that it is coded by matches however short it
+#: is; zstandard looks for no matches in the last eight bytes.
+FRAME = b"qzvxkjwy-zqxjvkyw-wykvjxqz-"
 
 _SPLIT = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -39,20 +48,28 @@ def _words(text: str) -> list[bytes]:
     return [w for w in _SPLIT.split(text.lower().encode()) if w]
 
 
-def _segments(toxic: list[set[str]], ordinary: list[set[str]], min_share: float, max_ratio: float) -> list[str]:
-    """The word beginnings that tell toxic documents apart, the most frequent last: of each family the shortest one, drawn
-    out for as long as it keeps most of its documents."""
+def _beginnings(words: list[str]) -> set[str]:
     low, high = SEGMENT
+    return {w[:n] for w in words for n in range(low, min(len(w), high) + 1)}
 
-    def counts(docs: list[set[str]], only: set[str] | None) -> Counter:
-        c = Counter()
-        for words in docs:
-            c.update({p for w in words for n in range(low, min(len(w), high) + 1) if (p := w[:n]) and (only is None or p in only)})
-        return c
 
-    a = Counter({p: n for p, n in counts(toxic, None).items() if n >= max(3, min_share * len(toxic))})
-    b = counts(ordinary, set(a))
-    telling = {p for p in a if (b[p] + 0.5) * max(1, len(toxic)) <= max_ratio * a[p] * max(1, len(ordinary))}
+def _segments(toxic: list[list[str]], ordinary: list[list[str]], min_share: float, max_ratio: float) -> list[str]:
+    """The word beginnings that tell toxic documents apart, the most frequent last: of each family the shortest one, drawn
+    out for as long as it keeps most of its documents. Documents count as one where the words around are the same, so what
+    near copies share doesn't pass for telling."""
+    documents, around = Counter(), defaultdict(set)
+    for words in toxic:
+        documents.update(_beginnings(words))
+    a = {p for p, n in documents.items() if n >= max(5, min_share * len(toxic))}
+    for words in toxic:
+        for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+            for p in _beginnings([w]) & a:
+                around[p].add((before, after))
+    a = {p: n for p in a if (n := min(documents[p], len(around[p]))) >= max(5, min_share * len(toxic))}
+    b = Counter()
+    for words in ordinary:
+        b.update(_beginnings(words) & a.keys())
+    telling = {p for p in a if (b[p] + 0.5) * len(toxic) <= max_ratio * a[p] * len(ordinary)}
     out = set()
     for p in (p for p in telling if p[:-1] not in telling):
         while longer := [q for q in telling if len(q) == len(p) + 1 and q.startswith(p) and a[q] >= 0.8 * a[p]]:
@@ -63,14 +80,16 @@ def _segments(toxic: list[set[str]], ordinary: list[set[str]], min_share: float,
 
 @dataclass
 class Model:
+    """thresholds: for each window length up to LENGTHS, the bytes from which a saving counts."""
+
     ordinary: bytes
     toxic: bytes
     window_words: int = WINDOW_WORDS
-    threshold: int = 1
+    thresholds: list[int] = field(default_factory=lambda: [99] * LENGTHS)
     weights: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0, 0.0])
 
     def savings(self):
-        """words -> bytes that each window saves with the toxic dictionary."""
+        """words -> (bytes that a window saves with the toxic dictionary, its length up to LENGTHS) for each window."""
         params = zstd.ZstdCompressionParameters(compression_level=3, window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=3, strategy=zstd.STRATEGY_LAZY, write_checksum=False, write_content_size=False, write_dict_id=False)
         both = []
         for content in (self.ordinary, self.toxic):
@@ -80,52 +99,70 @@ class Model:
         plain, other = both
 
         class Known(dict):
-            def __missing__(self, window: bytes) -> int:
-                data = CARRIER + window + b" "
-                saved = len(plain(data)) - len(other(data))
+            def __missing__(self, window: bytes) -> tuple[int, int]:
+                data = FRAME + window + TAIL
+                saved = len(plain(data)) - len(other(data)), min(len(window), LENGTHS) - 1
                 if len(self) < CACHED_WINDOWS and len(window) < 64:
                     self[window] = saved
                 return saved
 
         get, n = Known().__getitem__, self.window_words
 
-        def savings(words: list[bytes]) -> list[int]:
+        def savings(words: list[bytes]) -> list[tuple[int, int]]:
             windows = words if n == 1 else [b" ".join(words[i : i + n]) for i in range(0, len(words), n)]
             return list(map(get, windows))
 
         return savings
 
-    def features(self, saved: list[int]) -> list[float]:
-        hits = [s for s in saved if s >= self.threshold]
+    def features(self, saved: list[tuple[int, int]]) -> list[float]:
+        least = self.thresholds
+        hits = [d for d, n in saved if d > 0 and d >= least[n]]
         return [1.0, np.log1p(len(hits)), len(hits) / max(1, len(saved)), max(hits, default=0) / 8]
 
-    def score(self, saved: list[int]) -> float:
+    def score(self, saved: list[tuple[int, int]]) -> float:
         z = float(np.dot(self.features(saved), self.weights))
         return 1 / (1 + np.exp(-min(max(z, -30), 30)))
 
 
+def _thresholds(saved: list[list[tuple[int, int]]], y: np.ndarray) -> list[int]:
+    """For each length, the least saving that is a ratio more frequent in toxic than in ordinary training text; the ratio is
+    the one of RATIOS that best parts the documents by whether any window counts."""
+    counts = np.zeros((2, LENGTHS, 64))
+    for windows, label in zip(saved, y):
+        for d, n in windows:
+            if d > 0:
+                counts[int(label), n, min(d, 63)] += 1
+    above = counts[:, :, ::-1].cumsum(2)[:, :, ::-1] + 0.5
+    windows = np.array([sum(len(s) for s, label in zip(saved, y) if label == v) for v in (0, 1)], float)
+    ratio = (above[1] / windows[1]) / (above[0] / windows[0])
+    best, found = -9.0, [99] * LENGTHS
+    for least in RATIOS:
+        good = (ratio >= least) & (above[1] >= 3)
+        good[:, 0] = False
+        at = [int(g.argmax()) if g.any() else 99 for g in good]
+        hit = np.array([any(d > 0 and d >= at[n] for d, n in s) for s in saved])
+        quality = hit[y == 1].mean() - 2 * hit[y == 0].mean()
+        if quality > best:
+            best, found = quality, at
+    return found
+
+
 def train(sample: list[tuple[str, int]], window_words: int = WINDOW_WORDS) -> Model:
     """sample: (text, 1 if toxic). Without texts of both classes, every score is the share of class 1."""
-    sets = [({w.decode() for w in _words(t)}, y) for t, y in sample]
+    texts = [([w.decode() for w in _words(t)], y) for t, y in sample]
     share = sum(y for _, y in sample) / max(1, len(sample))
     common = [w for w, _ in Counter(w for t, y in sample if not y for w in _words(t)).most_common(2 * COMMON_WORDS)]
-    segments = [p.encode() for p in _segments([s for s, y in sets if y], [s for s, y in sets if not y], MIN_SHARE, MAX_RATIO)] if 0 < share < 1 else []
+    segments = [p.encode() for p in _segments([t for t, y in texts if y], [t for t, y in texts if not y], MIN_SHARE, MAX_RATIO)] if 0 < share < 1 else []
     own = b" " + b" ".join(segments) + b" "
-    fill = b" " + b" ".join(common[COMMON_WORDS:] or common)
-    fill = (fill * (len(own) // max(1, len(fill)) + 1))[: len(own)]
-    base = b" ".join(common[:COMMON_WORDS][::-1])
-    model = Model(base + CARRIER + fill, base + CARRIER + own, window_words)
+    fill = (b" " + b" ".join(common[COMMON_WORDS:]) + b" ")[: len(own)]
+    base = b" ".join(common[:COMMON_WORDS][::-1]) + FRAME
+    model = Model(base + fill, base + own, window_words)
     if not segments:
         model.weights = [float(np.log((share + 1e-3) / (1 - share + 1e-3))), 0.0, 0.0, 0.0]
         return model
     savings = model.savings()
     saved, y = [savings(_words(t)) for t, _ in sample], np.array([y for _, y in sample], float)
-    best = -1.0
-    for threshold in range(1, 9):  # the one that best parts documents by whether any window counts
-        hit = np.array([max(s, default=0) >= threshold for s in saved])
-        quality = hit[y == 1].mean() - 2 * hit[y == 0].mean()
-        if quality > best:
-            best, model.threshold = quality, threshold
+    model.thresholds = _thresholds(saved, y)
     x = np.array([model.features(s) for s in saved])
     w = np.zeros(x.shape[1])
     for _ in range(50):  # Newton steps of a logistic regression
