@@ -94,6 +94,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.labelled import labelled_sample
+    from readloom.llm.line_rules import judge, train
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = judge(docs, train(labelled_sample(docs, labels, "quality")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.decontam import find_items
 
@@ -108,6 +117,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_substring": op6_substring,
     "op7_neardup": op7_neardup,
+    "op9_line_rules": op9_line_rules,
     "op10_decontamination": op10_decontamination,
 }
 
