@@ -2,10 +2,11 @@
 
 1. Each document's set of 5-word shingles gives a set hash, PERMUTATIONS minima, their packed low bits and band keys.
 2. Documents with equal sets form a class; only its smallest document goes on.
-3. In each band key, every member is paired with the smallest member. The pairs that the low bits don't rule out are
-   confirmed on the full sets; confirmed links give components.
-4. Where members of one band key are still in different components, the pairs across components that the low bits don't
-   rule out are confirmed as well. Pairs within a component need no look: they can't change it.
+3. Band keys propose links, in three rounds; a proposal that sizes or low bits rule out is dropped, and the rest are
+   confirmed on the full sets. First, each member of a band key meets the key's smallest member, and each document
+   proposes a link to the one that it meets most often. Then, in keys whose members are in different components, members
+   propose links to the smallest member if it is in another component. Then, in keys that are still divided, all pairs
+   across components propose. Pairs within a component need no look: they can't change it.
 
 So a group of near copies costs links in proportion to its size. A key's smallest member is found with partial sums, and
 the joins on keys are plain joins, which Spark splits where a key is frequent.
@@ -28,8 +29,9 @@ PERCENT = 75
 BANDS, ROWS = 32, 4  # a pair at 0.75 shares no band once in 190,000 times
 PERMUTATIONS = BANDS * ROWS
 BITS = 2
-#: Equal low bits out of PERMUTATIONS that a pair must have: a similarity of about 0.5, over five deviations below 0.75.
-LEAST_EQUAL = 80
+#: Equal low bits out of PERMUTATIONS that a pair must have: 4.5 deviations below the 104 expected at 0.75.
+LEAST_EQUAL = 84
+FILTER_BITS = 1 << 23
 PAIRS_PER_GROUP = 64
 
 _random = np.random.Generator(np.random.PCG64(7_001))
@@ -111,12 +113,29 @@ def _confirm(percent: int, members: pa.Table, centre: pa.Table) -> pa.Table:
     return rows.select(["u", "v"]).rename_columns(["a", "b"])
 
 
+def _possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs with the columns of both members (_u, _v), those that sizes and low bits don't rule out."""
+    sizes = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
+    return pairs.filter(sizes & (equal_bits("low_u", "high_u", "low_v", "high_v") >= LEAST_EQUAL))
+
+
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ids, and some more: by a filter of FILTER_BITS bits, which is broadcast."""
+    place = lambda d: d.select("*", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("place"))
+    bits = place(ids).groupBy(F.floor(F.col("place") / 32768).alias("bucket")).agg(F.bitmap_construct_agg(F.col("place") % 32768).alias("bits"))
+    at = F.col("place") % 32768
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = place(rows).withColumn("bucket", F.floor(F.col("place") / 32768)).join(F.broadcast(bits), "bucket")
+    return joined.filter(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0).select(*rows.columns)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v), those whose sets are similar, as edges. A frequent u is split into groups of PAIRS_PER_GROUP."""
+    """Of pairs (u, v), those whose sets are similar, as edges a, b. A frequent u is split into groups of
+    PAIRS_PER_GROUP."""
     many = pairs.groupBy("u").agg(F.count("*").alias("n"))
     pairs = pairs.join(many, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / PAIRS_PER_GROUP)).cast("int").alias("part"))
     needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = written(texts.join(needed, "doc_id").select("doc_id", "text"), "texts")
+    texts = written(_among(texts, needed), "texts")
     members = pairs.join(texts.withColumnRenamed("doc_id", "v"), "v")
     centres = pairs.select("u", "part").distinct().join(texts.withColumnRenamed("doc_id", "u"), "u")
     centres = centres.select(F.col("u").alias("centre"), F.col("part").alias("of"), F.col("text").alias("own"))
@@ -135,30 +154,44 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     features = written(rows.mapInArrow(_features, _FEATURES), "features")
     known = features.filter("doc_id is not null and n_shingles > 0")
     classes = known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = written(known.join(classes, ["h1", "h2", "n_shingles"]).filter("doc_id = rep").dropDuplicates(["rep", "h1", "h2"]).select("rep", "low", "high", "bands"), "reps")
+    reps = written(known.join(classes, ["h1", "h2", "n_shingles"]).filter("doc_id = rep").dropDuplicates(["rep", "h1", "h2"]).select("rep", F.col("n_shingles").alias("n"), "low", "high", "bands"), "reps")
     several = known.groupBy("doc_id").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b").select("doc_id")
     bridges = known.join(several, "doc_id").join(classes, ["h1", "h2", "n_shingles"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    texts = rows.filter("doc_id is not null")
 
+    def side(frame: DataFrame, x: str) -> DataFrame:
+        return frame.select(*[F.col(c).alias(c if c == "band" else x if c == "rep" else f"{c}_{x}") for c in frame.columns])
+
+    def links_of(pairs: DataFrame) -> DataFrame | None:
+        proposed = written(pairs.select("u", "v").distinct(), "pairs")
+        if proposed.isEmpty():
+            return None
+        links = written(confirmed(proposed, texts, percent), "links")
+        return None if links.isEmpty() else links
+
+    bits = reps.drop("bands")
     keys = reps.select(F.explode("bands").alias("band"), "rep")
     firsts = keys.groupBy("band").agg(F.min("rep").alias("u"), F.count("*").alias("n")).filter("n > 1").select("band", "u")
-    stars = keys.join(firsts, "band").filter("rep > u").select("u", F.col("rep").alias("v")).distinct()
-    bits = reps.select("rep", "low", "high")
-    first, second = (bits.select(F.col("rep").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "uv")
-    near = stars.join(second, "v").join(first, "u").filter(equal_bits("low_u", "high_u", "low_v", "high_v") >= LEAST_EQUAL).select("u", "v").distinct()
-    texts = rows.filter("doc_id is not null")
-    links = written(confirmed(written(near, "pairs"), texts, percent).unionAll(bridges), "links")
-    roots = components(links)
-
-    rooted = bits.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "low", "high")
-    spread = keys.join(rooted.select("rep", "root"), "rep").groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("band")
-    mixed = written(keys.join(spread, "band").join(rooted, "rep"), "mixed")
-    a, b = (mixed.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "low", "high")]) for x in "uv")
-    across = a.join(b, "band").filter("rep_u < rep_v and root_u <> root_v").filter(equal_bits("low_u", "high_u", "low_v", "high_v") >= LEAST_EQUAL)
-    more = written(across.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")).distinct(), "pairs")
-    if not more.isEmpty():
-        extra = written(confirmed(more, texts, percent), "links")
-        if not extra.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(extra))
+    met = keys.join(firsts, "band").filter("rep > u").groupBy(F.col("rep").alias("v"), "u").agg(F.count("*").alias("n"))
+    best = met.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))
+    found = links_of(_possible(best.join(side(bits, "v"), "v").join(side(bits, "u"), "u"), percent))
+    edges = written(bridges if found is None else bridges.unionAll(found), "edges")
+    for across in (False, True):
+        rooted = reps.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        rooted = written(rooted, "rooted")
+        divided = rooted.select(F.explode("bands").alias("band"), "root").groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("band")
+        members = rooted.select(F.explode("bands").alias("band"), "rep", "root").join(divided, "band")
+        if across:
+            members = members.select("band", "rep").join(rooted, "rep")
+            pairs = side(members, "u").join(side(members, "v"), "band").filter("u < v and root_u <> root_v")
+            pairs = _possible(pairs, percent).filter(F.col("band") == F.array_intersect("bands_u", "bands_v")[0])
+        else:
+            low = members.groupBy("band").agg(F.min("rep").alias("u"), F.min_by("root", "rep").alias("root_u"))
+            pairs = members.join(low, "band").filter("root <> root_u").select("u", F.col("rep").alias("v")).distinct()
+            pairs = _possible(pairs.join(side(bits, "v"), "v").join(side(bits, "u"), "u"), percent)
+        found = links_of(pairs)
+        edges = edges if found is None else written(edges.unionAll(found), "edges")
+    roots = components(edges)
     reached = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     linked = features.select("doc_id", "n_shingles", "h1", "h2").join(reached, ["h1", "h2", "n_shingles"], "left")
     return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id"))).alias("component_id"))

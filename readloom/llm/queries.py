@@ -94,6 +94,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from readloom.llm.labelled import labelled_sample
+    from readloom.llm.quality import resample
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return resample(docs, labelled_sample(docs, labels, "quality"))
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from readloom.llm.labelled import labelled_sample
     from readloom.llm.line_rules import judge, train
@@ -117,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_substring": op6_substring,
     "op7_neardup": op7_neardup,
+    "op8_quality": op8_quality,
     "op9_line_rules": op9_line_rules,
     "op10_decontamination": op10_decontamination,
 }
