@@ -195,3 +195,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     reached = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     linked = features.select("doc_id", "n_shingles", "h1", "h2").join(reached, ["h1", "h2", "n_shingles"], "left")
     return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id"))).alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of docs for each component: that of the smallest doc_id. Rows without doc_id stay; all columns stay."""
+    ids = near_duplicates(docs, percent).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionAll(docs.filter("doc_id is null"))
