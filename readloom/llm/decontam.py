@@ -125,7 +125,7 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, block_
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs without those that find_items() reports; all columns stay."""
-    out = docs
+    out, names = docs, docs.columns
     for index in _blocks(items, percent, block_chars):
-        out = out.mapInArrow(lambda it, index=index: _search(index, docs.columns, it), docs.schema)
+        out = out.mapInArrow(lambda it, index=index: _search(index, names, it), docs.schema)
     return out

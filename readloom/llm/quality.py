@@ -129,6 +129,33 @@ def kth_largest(rows: DataFrame, k: int) -> tuple[float, int] | None:
     return high, found[1]
 
 
+class Draw:
+    """The models and the k-th place of a sample drawn from docs; see resample() for the parameters."""
+
+    def __init__(self, docs: DataFrame, sample: list[tuple[str, int]], k: int | None = None, seed: int = SEED, doc_id: str = "doc_id", text: str = "text"):
+        self.seed = seed
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        good = [t for t, y in sample if y]
+        target = counts_of(pa.chunked_array([pa.array(good, pa.string())])) if good else np.zeros((KINDS, BUCKETS))
+        self.ratios = ratios = log_ratios(target, raw_counts(rows)) if good else np.zeros((KINDS, BUCKETS))
+        weighed = rows.mapInArrow(lambda it: _weigh(ratios, it), "doc_id long, log_weight double")
+        self.keyed = written(weighed.withColumn("key", F.col("log_weight") + self.noise(F.col("doc_id"))), "weights")
+        if k is None:
+            y = np.array([y for _, y in sample], bool)
+            cut = best_cut(weights_of(pa.chunked_array([pa.array([t for t, _ in sample], pa.string())]), ratios), y) if y.any() and not y.all() else -np.inf
+            k = self.keyed.filter(F.col("log_weight") >= float(cut)).count()
+        self.last = kth_largest(self.keyed.select("key", _order(F.col("doc_id")).alias("doc_id")), k) or (np.inf, -1 << 63)
+
+    def noise(self, doc_id):
+        """Gumbel noise that depends on the id alone."""
+        unit = (F.shiftrightunsigned(F.xxhash64(_order(doc_id), F.lit(self.seed)), 11) + 0.5) / float(1 << 53)
+        return -F.log(-F.log(unit))
+
+
+def _order(doc_id):
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
+
+
 def resample(docs: DataFrame, sample: list[tuple[str, int]], k: int | None = None, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, log_weight, key (log_weight with noise), and kept: whether the document is among the k drawn.
 
@@ -136,17 +163,24 @@ def resample(docs: DataFrame, sample: list[tuple[str, int]], k: int | None = Non
     by doc_id; rows that share a doc_id share the noise, and all those at the k-th place are kept. Null ids count as the
     smallest. Other columns are left out.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    good = [t for t, y in sample if y]
-    target = counts_of(pa.chunked_array([pa.array(good, pa.string())])) if good else np.zeros((KINDS, BUCKETS))
-    ratios = log_ratios(target, raw_counts(rows)) if good else np.zeros((KINDS, BUCKETS))
-    unit = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    keyed = rows.mapInArrow(lambda it: _weigh(ratios, it), "doc_id long, log_weight double").withColumn("key", F.col("log_weight") - F.log(-F.log(unit)))
-    keyed = written(keyed, "weights")
-    if k is None:
-        y = np.array([y for _, y in sample], bool)
-        cut = best_cut(weights_of(pa.chunked_array([pa.array([t for t, _ in sample], pa.string())]), ratios), y) if y.any() and not y.all() else -np.inf
-        k = keyed.filter(F.col("log_weight") >= float(cut)).count()
-    last = kth_largest(keyed.select("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")), k)
-    kept = F.lit(False) if last is None else (F.col("key") > last[0]) | ((F.col("key") == last[0]) & (F.coalesce("doc_id", F.lit(-(1 << 63))) <= last[1]))
-    return keyed.withColumn("kept", kept)
+    drawn = Draw(docs, sample, k, seed, doc_id, text)
+    key, at = float(drawn.last[0]), drawn.last[1]
+    return drawn.keyed.withColumn("kept", (F.col("key") > key) | ((F.col("key") == key) & (_order(F.col("doc_id")) <= at)))
+
+
+def _keep(ratios: np.ndarray, last: tuple[float, int], names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows in text_slices(batch, "text", 2 << 20):
+            *own, noise, order = rows.columns
+            key = weights_of(rows.column("text"), ratios) + noise.to_numpy()
+            kept = (key > last[0]) | ((key == last[0]) & (order.to_numpy() <= last[1]))
+            yield from pa.table(own, names).filter(pa.array(kept)).to_batches()
+
+
+def drawn_documents(docs: DataFrame, sample: list[tuple[str, int]], k: int | None = None, seed: int = SEED) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) that resample() keeps, unchanged. Texts are weighed once more instead
+    of being shuffled to their verdicts."""
+    drawn = Draw(docs, sample, k, seed)
+    ratios, last, names = drawn.ratios, drawn.last, docs.columns
+    more = docs.select("*", drawn.noise(F.col("doc_id")).alias("gumbel noise of the draw"), _order(F.col("doc_id")).alias("order of the draw"))
+    return more.mapInArrow(lambda it: _keep(ratios, last, names, it), docs.schema)

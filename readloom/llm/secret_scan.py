@@ -273,5 +273,6 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", text: str = "text", limit: i
     if text != "text" and "text" in docs.columns:
         raise ValueError("another column is called text")
     rows = docs.withColumnRenamed(text, "text")
-    out = rows.mapInArrow(lambda it: _scan(limit, mask, rows.columns, it), rows.schema)
+    names = rows.columns
+    out = rows.mapInArrow(lambda it: _scan(limit, mask, names, it), rows.schema)
     return out.withColumnRenamed("text", text)
