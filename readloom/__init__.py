@@ -1,0 +1 @@
+"""Read demultiplexing and quality analytics on Spark DataFrames."""
