@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from readloom.llm.shared import text_slices
+from readloom.llm.shared import sample_slices, text_slices
 from readloom.llm.words import mix, words_of
 
 MIN_WORDS = 50
@@ -101,6 +101,12 @@ def lines_of(texts: pa.ChunkedArray) -> Lines:
     return Lines(base, features, words, np.searchsorted(text, np.arange(n + 1)))
 
 
+def _joined(parts: list[Lines]) -> Lines:
+    begins = np.cumsum([0, *(len(p.words) for p in parts)])
+    first = np.concatenate([*(p.first[:-1] + b for p, b in zip(parts, begins)), begins[-1:]])
+    return Lines({}, np.concatenate([p.features for p in parts]), np.concatenate([p.words for p in parts]), first)
+
+
 @dataclass
 class Field:
     """emission: FEATURES x 2 and transition: 2 x 2 scores; label 1 is content. least: the share of words in content lines
@@ -177,7 +183,7 @@ def train(sample: list[tuple[str, int]], steps: int = STEPS, rounds: int = ROUND
     if not len(good) or good.min() == good.max():
         field.emission[0, 1] = 1.0
         return field
-    found = lines_of(pa.chunked_array([pa.array([t for t, _ in sample], pa.string())]))
+    found = _joined([lines_of(part) for part in sample_slices([t for t, _ in sample])])
     of = np.repeat(good, np.diff(found.first)).astype(np.int64)
     y = of.copy()
     for _ in range(rounds):

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from readloom.llm.shared import text_slices, written
+from readloom.llm.shared import sample_slices, text_slices, written
 from readloom.llm.words import Words, mix, words_of
 
 BUCKETS = 1 << 14
@@ -136,13 +136,13 @@ class Draw:
         self.seed = seed
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
         good = [t for t, y in sample if y]
-        target = counts_of(pa.chunked_array([pa.array(good, pa.string())])) if good else np.zeros((KINDS, BUCKETS))
+        target = sum((counts_of(part) for part in sample_slices(good)), np.zeros((KINDS, BUCKETS)))
         self.ratios = ratios = log_ratios(target, raw_counts(rows)) if good else np.zeros((KINDS, BUCKETS))
         weighed = rows.mapInArrow(lambda it: _weigh(ratios, it), "doc_id long, log_weight double")
         self.keyed = written(weighed.withColumn("key", F.col("log_weight") + self.noise(F.col("doc_id"))), "weights")
         if k is None:
             y = np.array([y for _, y in sample], bool)
-            cut = best_cut(weights_of(pa.chunked_array([pa.array([t for t, _ in sample], pa.string())]), ratios), y) if y.any() and not y.all() else -np.inf
+            cut = best_cut(np.concatenate([weights_of(part, ratios) for part in sample_slices([t for t, _ in sample])]), y) if y.any() and not y.all() else -np.inf
             k = self.keyed.filter(F.col("log_weight") >= float(cut)).count()
         self.last = kth_largest(self.keyed.select("key", _order(F.col("doc_id")).alias("doc_id")), k) or (np.inf, -1 << 63)
 
