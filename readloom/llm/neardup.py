@@ -2,14 +2,15 @@
 
 1. Each document's set of 5-word shingles gives a set hash, PERMUTATIONS minima, their packed low bits and band keys.
 2. Documents with equal sets form a class; only its smallest document goes on.
-3. Band keys propose links, in three rounds; a proposal that sizes or low bits rule out is dropped, and the rest are
-   confirmed on the full sets. First, each member of a band key meets the key's smallest member, and each document
-   proposes a link to the one that it meets most often. Then, in keys whose members are in different components, members
-   propose links to the smallest member if it is in another component. Then, in keys that are still divided, all pairs
-   across components propose. Pairs within a component need no look: they can't change it.
-
-So a group of near copies costs links in proportion to its size. A key's smallest member is found with partial sums, and
-the joins on keys are plain joins, which Spark splits where a key is frequent.
+3. Band keys with DENSE members or more join their members to families. A family is dealt into blocks, and each pair of
+   blocks is a group whose documents are all compared exactly, by their shingles; a group returns at most as many links
+   as it has documents, as only components matter.
+4. Other band keys have few members. Each document proposes a link to the smallest member that it meets most often; then,
+   in keys whose members are still in different components, all pairs across components are proposed. Proposals that
+   sizes or low bits rule out are dropped and the rest are confirmed on the full sets.
+
+Partial sums find frequent keys; no key is gathered in one task, and no pairs of a family are ever written out as rows. A
+family whose n members are alike, but not alike enough to be linked, costs n * n comparisons, spread over its groups.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ BITS = 2
 #: Equal low bits out of PERMUTATIONS that a pair must have: 4.5 deviations below the 104 expected at 0.75.
 LEAST_EQUAL = 84
 FILTER_BITS = 1 << 23
+DENSE = 16
+BLOCK_DOCS, BLOCK_SHINGLES = 128, 500_000
 PAIRS_PER_GROUP = 64
 
 _random = np.random.Generator(np.random.PCG64(7_001))
@@ -129,6 +132,58 @@ def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return joined.filter(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0).select(*rows.columns)
 
 
+def _linked_blocks(percent: int, docs: pa.Table) -> pa.Table:
+    """A forest of the links between the documents of two blocks, or within one. Every pair is compared exactly."""
+    ids, left = docs.column("doc_id").to_numpy(), docs.column("left").to_numpy(zero_copy_only=False)
+    sets = [x for part in text_slices(docs, "text", 2 << 20) for x in shingle_sets(part.column("text"))]
+    rows, columns = np.flatnonzero(left), np.flatnonzero(~left)
+    columns = columns if len(columns) else rows
+    rows = [r for r in rows if len(sets[r])]
+    columns = np.array([c for c in columns if len(sets[c])], np.int64)
+    parent = list(range(len(sets)))
+    edges: list[tuple[int, int]] = []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    if len(rows) and len(columns):
+        sizes = np.array([len(x) for x in sets], np.int64)
+        known, which = np.unique(np.concatenate(sets), return_inverse=True)
+        places = np.split(which, np.cumsum(sizes)[:-1])
+        flat = np.concatenate([places[c] for c in columns])
+        starts = np.cumsum(sizes[columns]) - sizes[columns]
+        mark = np.zeros(len(known), np.int32)
+        for r in rows:
+            mark[places[r]] = 1
+            shared = np.add.reduceat(mark[flat], starts)
+            mark[places[r]] = 0
+            for c in columns[100 * shared >= percent * (sizes[r] + sizes[columns] - shared)].tolist():
+                a, b = root(int(r)), root(c)
+                if a != b:
+                    parent[b] = a
+                    edges.append((int(r), c))
+    a, b = (ids[[e[k] for e in edges]] if edges else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _family_links(keys: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """keys: band, rep. The links within families of dense band keys, as edges a, b."""
+    dense = keys.groupBy("band").agg(F.min("rep").alias("u"), F.count("*").alias("n")).filter(F.col("n") >= DENSE).select("band", "u")
+    families = components(keys.join(dense, "band").filter("rep > u").select(F.col("u").alias("a"), F.col("rep").alias("b")))
+    families = families.unionAll(families.select(F.col("root").alias("node"), "root").distinct())
+    members = families.withColumnRenamed("node", "rep").join(sizes, "rep")
+    counts = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = written(members.join(counts, "root").select(F.col("rep").alias("doc_id"), "root", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block")).distinct(), "families")
+    found = written(_among(texts, members.select("doc_id")).join(members, "doc_id"), "texts")
+    dealt = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    dealt = dealt.select("root", *pair, (F.col("block") <= F.col("other")).alias("left"), "doc_id", "text")
+    return dealt.groupBy("root", "i", "j").applyInArrow(lambda d: _linked_blocks(percent, d), "a long, b long")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of pairs (u, v), those whose sets are similar, as edges a, b. A frequent u is split into groups of
     PAIRS_PER_GROUP."""
@@ -171,26 +226,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
 
     bits = reps.drop("bands")
     keys = reps.select(F.explode("bands").alias("band"), "rep")
-    firsts = keys.groupBy("band").agg(F.min("rep").alias("u"), F.count("*").alias("n")).filter("n > 1").select("band", "u")
+    dense = written(_family_links(keys, reps.select("rep", "n"), texts, percent), "links")
+    edges = written(bridges.unionAll(dense), "edges")
+
+    firsts = keys.groupBy("band").agg(F.min("rep").alias("u"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") < DENSE)).select("band", "u")
     met = keys.join(firsts, "band").filter("rep > u").groupBy(F.col("rep").alias("v"), "u").agg(F.count("*").alias("n"))
     best = met.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))
     found = links_of(_possible(best.join(side(bits, "v"), "v").join(side(bits, "u"), "u"), percent))
-    edges = written(bridges if found is None else bridges.unionAll(found), "edges")
-    for across in (False, True):
-        rooted = reps.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        rooted = written(rooted, "rooted")
-        divided = rooted.select(F.explode("bands").alias("band"), "root").groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("band")
-        members = rooted.select(F.explode("bands").alias("band"), "rep", "root").join(divided, "band")
-        if across:
-            members = members.select("band", "rep").join(rooted, "rep")
-            pairs = side(members, "u").join(side(members, "v"), "band").filter("u < v and root_u <> root_v")
-            pairs = _possible(pairs, percent).filter(F.col("band") == F.array_intersect("bands_u", "bands_v")[0])
-        else:
-            low = members.groupBy("band").agg(F.min("rep").alias("u"), F.min_by("root", "rep").alias("root_u"))
-            pairs = members.join(low, "band").filter("root <> root_u").select("u", F.col("rep").alias("v")).distinct()
-            pairs = _possible(pairs.join(side(bits, "v"), "v").join(side(bits, "u"), "u"), percent)
-        found = links_of(pairs)
-        edges = edges if found is None else written(edges.unionAll(found), "edges")
+    edges = edges if found is None else written(edges.unionAll(found), "edges")
+
+    rooted = reps.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = written(rooted, "rooted")
+    placed = rooted.select(F.explode("bands").alias("band"), "rep", "root")
+    divided = placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).filter((F.col("r1") < F.col("r2")) & (F.col("n") < DENSE)).select("band")
+    members = placed.join(divided, "band").select("band", "rep").join(rooted, "rep")
+    pairs = _possible(side(members, "u").join(side(members, "v"), "band").filter("u < v and root_u <> root_v"), percent)
+    found = links_of(pairs.filter(F.col("band") == F.array_intersect("bands_u", "bands_v")[0]))
+    edges = edges if found is None else written(edges.unionAll(found), "edges")
     roots = components(edges)
     reached = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     linked = features.select("doc_id", "n_shingles", "h1", "h2").join(reached, ["h1", "h2", "n_shingles"], "left")
