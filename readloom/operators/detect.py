@@ -35,7 +35,8 @@ def layout_counts(reads: DataFrame, indexes: DataFrame, barcode_length: int) ->
     """reads: seq. indexes: row_ix, i7, i5 (null for one index), rc7, rc5; a sheet's size, times four. Returns row_ix, layout
     (places7[:place5]_rc7:rc5) and n. Two indexes count only where they don't overlap."""
     barcodes = reads.filter(F.length("seq") >= barcode_length).select(barcode_slice("seq", barcode_length).alias("bc"))
-    both = barcodes.crossJoin(F.broadcast(indexes))
+    present = F.contains("bc", "i7") & (F.col("i5").isNull() | F.contains("bc", "i5"))
+    both = barcodes.join(F.broadcast(indexes), present)
     at = both.withColumn("p7", F.explode(occurrences(F.col("bc"), F.col("i7"))))
     at = at.withColumn("p5", F.explode(F.when(F.col("i5").isNull(), F.array(F.lit(-1))).otherwise(occurrences(F.col("bc"), F.col("i5")))))
     apart = (F.col("p5") < 0) | (F.col("p5") >= F.col("p7") + F.length("i7")) | (F.col("p7") >= F.col("p5") + F.length("i5"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from readloom.functions.columns import PHRED_OFFSET, percent, q30_count, quality_sum, trimmed
+from readloom.functions.columns import PHRED_OFFSET, percent
+from readloom.functions.quality import quality_measures
 from readloom.plans.sheet import Sheet
 
 MEASURES = ("r1_qc_30", "r2_qc_30", "r3_qc_30", "r1_bases", "r2_bases", "r3_bases", "r1_qc", "r2_qc", "r3_qc", "all_reads")
@@ -14,22 +15,20 @@ def mismatch_columns(most: int) -> list[str]:
     return [f"{k}-mismatches" for k in range(most + 1)]
 
 
-def _measures(prefix: str, qual: Column) -> list[Column]:
-    bases = F.length(qual).cast("long")
-    return [
-        F.coalesce(F.sum(q30_count(qual)), F.lit(0)).alias(f"{prefix}_qc_30"), F.coalesce(F.sum(bases), F.lit(0)).alias(f"{prefix}_bases"),
-        F.coalesce(F.sum(quality_sum(qual) - PHRED_OFFSET * bases), F.lit(0)).alias(f"{prefix}_qc"),
-    ]
-
-
 def read_statistics(assigned: DataFrame, barcode_length: int, most: int, mate_qual: str | None = None) -> DataFrame:
     """assigned: row_ix, mm, qual, and the mate's quality if there is one. One row for each row_ix with reads: MEASURES and
     the mismatch counts. r3 is the barcode; without a mate, the rest of the barcode read counts as r1."""
-    rest, barcode = trimmed("qual", barcode_length), F.right(F.col("qual"), F.lit(barcode_length))
-    first, second = (F.col(mate_qual), rest) if mate_qual else (rest, F.lit(""))
+    size = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("long")
+    rows = assigned.select("row_ix", "mm", quality_measures("qual", barcode_length).alias("own"), size("qual").alias("bases"), *([quality_measures(mate_qual).alias("mate"), size(mate_qual).alias("mate_bases")] if mate_qual else []))
+    tail = F.least(F.lit(barcode_length), "bases")
+    own = (F.col("own.rest_sum"), F.col("own.rest_q30"), F.col("bases") - tail)
+    mate = (F.col("mate.rest_sum"), F.col("mate.rest_q30"), F.col("mate_bases")) if mate_qual else own
+    none = (F.lit(0), F.lit(0), F.lit(0))
+    aggs = []
+    for prefix, (total, high, bases) in (("r1", mate), ("r2", own if mate_qual else none), ("r3", (F.col("own.tail_sum"), F.col("own.tail_q30"), tail))):
+        aggs += [F.sum(high).alias(f"{prefix}_qc_30"), F.sum(bases).cast("long").alias(f"{prefix}_bases"), F.sum(total - PHRED_OFFSET * bases).alias(f"{prefix}_qc")]
     counts = [F.count_if(F.col("mm") == k).alias(c) for k, c in enumerate(mismatch_columns(most))]
-    aggs = [*_measures("r1", first), *_measures("r2", second), *_measures("r3", barcode), F.count("*").alias("all_reads"), *counts]
-    return assigned.groupBy("row_ix").agg(*aggs).select("row_ix", *MEASURES, *mismatch_columns(most))
+    return rows.groupBy("row_ix").agg(*aggs, F.count("*").alias("all_reads"), *counts).select("row_ix", *MEASURES, *mismatch_columns(most))
 
 
 def per_sample(stats: DataFrame, samples: DataFrame, hide_empty_pseudo: bool = True) -> DataFrame:

@@ -1 +1 @@
-
+"""Lanes that arrive as a stream."""
