@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from readloom.llm.oracles import ORACLES as ORACLES
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -130,4 +132,4 @@ QUERIES: dict[str, Query] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+
