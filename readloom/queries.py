@@ -48,8 +48,8 @@ def _changed(text: str, place: str, letter: str) -> str:
 
 def reads_sql(layouts: tuple = DUAL, source: str = "events", read_id: str = "event_id") -> str:
     """read_id, k, header, seq, qual, and the mate's r1_header, r1_seq, r1_qual."""
-    a = f"select {read_id} as read_id, cast({read_id} % 25 as int) as k, cast({read_id} % 19 as int) as p7, cast({read_id} % 23 as int) as p5 from {source}"
-    b = f"select *, {_index('k', 7)} as x7, {_index('(case when read_id % 40 = 7 then (k + 3) % 25 else k end)', 5)} as x5 from ({a}) a"
+    a = f"select read_id, cast(read_id % 25 as int) as k, cast((case when read_id % 40 = 7 then read_id + 3 else read_id end) % 25 as int) as k5, cast(read_id % 19 as int) as p7, cast(read_id % 23 as int) as p5 from (select {read_id} as read_id from {source}) i"
+    b = f"select a.*, s.i7 as x7, t.i5 as x5 from ({a}) a join ({SHEET}) s on s.row_ix = a.k join ({SHEET}) t on t.row_ix = a.k5"
     l7, l5 = "substr('ACGTN', cast(read_id % 5 as int) + 1, 1)", "substr('TGCAN', cast(read_id % 5 as int) + 1, 1)"
     c = f"select *, {_changed('x7', 'p7', l7)} as i7, {_changed('x5', 'p5', l5)} as i5, {_letters([f'read_id * {j + 2} + {j}' for j in range(4)])} as um from ({b}) b"
     parts = {"i78": "i7", "i58": "i5", "um4": "um", "--12": "'ACGTACGTACGT'"}
@@ -67,7 +67,7 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 
 def reads(spark: SparkSession, sf_dir: str, layouts: tuple = DUAL, source: str = "events", read_id: str = "event_id") -> DataFrame:
-    tables(spark, sf_dir, source)
+    tables(spark, sf_dir, source, "nation")
     return spark.sql(reads_sql(layouts, source, read_id))
 
 
@@ -182,12 +182,12 @@ for _m in (1, 2):
     _query(_neighborhood_oracle(_m))(_neighborhood(_m))
 
 
-@_query("select * from (values ('i78:um4:i58', 8, 20, 8, 8, 4, 12, 20), ('i58:um4:i78', 8, 8, 8, 20, 4, 12, 20), ('i78:--12', 8, 20, null, null, null, null, 20)) t(template, i7_length, i7_offset, i5_length, i5_offset, um_length, um_offset, total)")
+@_query("select * from (values ('i78:um4:i58', 8, 20, 8, 8, 4, 12, 20), ('i58:um4:i78', 8, 8, 8, 20, 4, 12, 20), ('i78:--12', 8, 20, 0, 0, 0, 0, 20)) t(template, i7_length, i7_offset, i5_length, i5_offset, um_length, um_offset, total)")
 def parse_template_layout(spark, sf_dir):
     rows = []
     for text, _, _ in MIXED:
         t = parse_template(text)
-        rows.append((text, *[x for p in (t.i7, t.i5, t.um) for x in ((p.length, p.offset) if p else (None, None))], t.length))
+        rows.append((text, *[x for p in (t.i7, t.i5, t.um) for x in ((p.length, p.offset) if p else (0, 0))], t.length))
     return spark.createDataFrame(rows, "template string, i7_length int, i7_offset int, i5_length int, i5_offset int, um_length int, um_offset int, total int")
 
 
@@ -308,9 +308,9 @@ def sample_stats(spark, sf_dir):
     return stats.sample_statistics(sample_rows(spark, sf_dir), M).toDF("job_number", "sample_id", *stats.MEASURES, "mm0", "mm1")
 
 
-@_query(f"{_STATS} select job_number, row_ix, cast(grouping(job_number) * 2 + grouping(row_ix) as bigint) as level, {', '.join(f'cast(sum({m}) as bigint) as {m}' for m in stats.MEASURES)} from per_sample group by rollup (job_number, row_ix)")
+@_query(f"{_STATS} select coalesce(job_number, '') as job_number, coalesce(row_ix, -1) as row_ix, cast(grouping(job_number) * 2 + grouping(row_ix) as bigint) as level, {', '.join(f'cast(sum({m}) as bigint) as {m}' for m in stats.MEASURES)} from per_sample group by rollup (job_number, row_ix)")
 def lane_totals(spark, sf_dir):
-    return stats.lane_totals(sample_rows(spark, sf_dir))
+    return stats.lane_totals(sample_rows(spark, sf_dir)).fillna({"job_number": "", "row_ix": -1})
 
 
 def _top(name: str, which: str, options: match.MatchOptions, limit: int):
