@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import shutil
 from collections.abc import Iterable, Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -94,10 +95,7 @@ def write_fastq(records: DataFrame, folder: str, order: list[Column | str], part
 
 def plain(x: float) -> str:
     """The shortest decimal form without an exponent; whole numbers without a point."""
-    if x == int(x):
-        return str(int(x))
-    text = repr(float(x))
-    return f"{x:.20f}".rstrip("0") if "e" in text and float(f"{x:.20f}") == x else format(x, "f") if "e" in text else text
+    return str(int(x)) if x == int(x) else format(Decimal(repr(float(x))), "f")
 
 
 def three(x: float | None) -> str:
