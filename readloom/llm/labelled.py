@@ -26,3 +26,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for r in sorted(found):
         out.setdefault(r.text, r.label)
     return list(out.items())
+
+
+def label_share(labels: DataFrame, label: str, where=None) -> float | None:
+    """The share of 1 among all labelled rows."""
+    rows = labels if where is None else labels.filter(where)
+    return rows.filter(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0]

@@ -87,12 +87,13 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from readloom.llm.labelled import labelled_sample
+    from readloom.llm.labelled import label_share, labelled_sample
     from readloom.llm.toxicity import score, train
 
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
-    out = score(docs, train(labelled_sample(docs, labels, "toxic", where=~held_out)))
+    model = train(labelled_sample(docs, labels, "toxic", where=~held_out), label_share(labels, "toxic", ~held_out))
+    out = score(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 

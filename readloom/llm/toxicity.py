@@ -4,8 +4,8 @@ Both zstandard dictionaries begin with the commonest words. The ordinary one goe
 one, in the same space, with the segments that tell toxic training documents apart: word beginnings that are frequent
 there and nearly absent elsewhere, found by document counts. (A trainer run on the whole texts gives two dictionaries that
 hardly differ, as only about one word in a hundred does.) Each window is compressed between frames that both hold. A window counts if it saves at least
-the bytes that are set for its length; these thresholds and the weights of count, share and largest saving are calibrated
-on the training documents.
+the bytes that are set for its length. These thresholds, how telling a saving is, and the weights of the sum, share and
+maximum of what counts are calibrated on the training documents.
 
 Windows of one word have the least noise: longer ones also save or lose bytes where ordinary words meet by chance.
 """
@@ -32,14 +32,10 @@ SEGMENT = (3, 14)  # letters
 CACHED_WINDOWS = 200_000
 #: Each window stands between parts of this, which both dictionaries hold, so that it is coded by matches however short it
 #: is; zstandard looks for no matches in the last eight bytes.
-FRAME = b" qzvxkjwy qzvxkjwy zqxjvkyw zqxjvkyw "
-TAIL = FRAME[:19]
-LENGTHS = 17  # windows of more bytes share a threshold
+FRAME = b" qzvxkjwy zqxjvkyw wykvjxqz vxqzjkwy "
+TAIL = b" " + FRAME[-19:-1]
+LENGTHS, SAVINGS = 17, 32  # longer windows and larger savings share a cell
 RATIOS = (3, 10, 30, 100)  # how much more frequent in toxic text savings must be to count
-CACHED_WINDOWS = 200_000
-#: Each window stands between two of these, which both dictionaries hold, so that it is coded by matches however short it
-#: is; zstandard looks for no matches in the last eight bytes.
-FRAME = b"qzvxkjwy-zqxjvkyw-wykvjxqz-"
 
 _SPLIT = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -80,12 +76,13 @@ def _segments(toxic: list[list[str]], ordinary: list[list[str]], min_share: floa
 
 @dataclass
 class Model:
-    """thresholds: for each window length up to LENGTHS, the bytes from which a saving counts."""
+    """evidence: for each window length up to LENGTHS and each saving below SAVINGS bytes, the log of how much more frequent
+    it is in toxic text; 0 below the length's threshold."""
 
     ordinary: bytes
     toxic: bytes
     window_words: int = WINDOW_WORDS
-    thresholds: list[int] = field(default_factory=lambda: [99] * LENGTHS)
+    evidence: list[list[float]] = field(default_factory=lambda: [[0.0] * SAVINGS for _ in range(LENGTHS)])
     weights: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0, 0.0])
 
     def savings(self):
@@ -115,46 +112,48 @@ class Model:
         return savings
 
     def features(self, saved: list[tuple[int, int]]) -> list[float]:
-        least = self.thresholds
-        hits = [d for d, n in saved if d > 0 and d >= least[n]]
-        return [1.0, np.log1p(len(hits)), len(hits) / max(1, len(saved)), max(hits, default=0) / 8]
+        table = self.evidence
+        hits = [e for d, n in saved if d > 0 and (e := table[n][min(d, SAVINGS - 1)])]
+        return [1.0, np.log1p(sum(hits)), len(hits) / max(1, len(saved)), max(hits, default=0.0)]
 
     def score(self, saved: list[tuple[int, int]]) -> float:
         z = float(np.dot(self.features(saved), self.weights))
         return 1 / (1 + np.exp(-min(max(z, -30), 30)))
 
 
-def _thresholds(saved: list[list[tuple[int, int]]], y: np.ndarray) -> list[int]:
-    """For each length, the least saving that is a ratio more frequent in toxic than in ordinary training text; the ratio is
-    the one of RATIOS that best parts the documents by whether any window counts."""
-    counts = np.zeros((2, LENGTHS, 64))
+def _evidence(saved: list[list[tuple[int, int]]], y: np.ndarray) -> list[list[float]]:
+    """For each length, savings count from the least one that is a ratio more frequent in toxic than in ordinary training
+    text; the ratio is the one of RATIOS that best parts the documents by whether any window counts."""
+    counts = np.zeros((2, LENGTHS, SAVINGS))
     for windows, label in zip(saved, y):
         for d, n in windows:
             if d > 0:
-                counts[int(label), n, min(d, 63)] += 1
+                counts[int(label), n, min(d, SAVINGS - 1)] += 1
     above = counts[:, :, ::-1].cumsum(2)[:, :, ::-1] + 0.5
     windows = np.array([sum(len(s) for s, label in zip(saved, y) if label == v) for v in (0, 1)], float)
     ratio = (above[1] / windows[1]) / (above[0] / windows[0])
-    best, found = -9.0, [99] * LENGTHS
+    best, found = -9.0, np.zeros((LENGTHS, SAVINGS))
     for least in RATIOS:
         good = (ratio >= least) & (above[1] >= 3)
         good[:, 0] = False
-        at = [int(g.argmax()) if g.any() else 99 for g in good]
-        hit = np.array([any(d > 0 and d >= at[n] for d, n in s) for s in saved])
+        counted = good.cumsum(1) > 0
+        hit = np.array([any(d > 0 and counted[n, min(d, SAVINGS - 1)] for d, n in s) for s in saved])
         quality = hit[y == 1].mean() - 2 * hit[y == 0].mean()
         if quality > best:
-            best, found = quality, at
-    return found
+            best, found = quality, np.where(counted, np.log(np.maximum(ratio, least)), 0.0)
+    return found.tolist()
 
 
-def train(sample: list[tuple[str, int]], window_words: int = WINDOW_WORDS) -> Model:
-    """sample: (text, 1 if toxic). Without texts of both classes, every score is the share of class 1."""
+def train(sample: list[tuple[str, int]], share_of_toxic: float | None = None, window_words: int = WINDOW_WORDS) -> Model:
+    """sample: (text, 1 if toxic). share_of_toxic: among all labelled rows, if the sample's is another; scores are set right
+    for it. Without texts of both classes, every score is the share of class 1."""
     texts = [([w.decode() for w in _words(t)], y) for t, y in sample]
     share = sum(y for _, y in sample) / max(1, len(sample))
     common = [w for w, _ in Counter(w for t, y in sample if not y for w in _words(t)).most_common(2 * COMMON_WORDS)]
     segments = [p.encode() for p in _segments([t for t, y in texts if y], [t for t, y in texts if not y], MIN_SHARE, MAX_RATIO)] if 0 < share < 1 else []
     own = b" " + b" ".join(segments) + b" "
-    fill = (b" " + b" ".join(common[COMMON_WORDS:]) + b" ")[: len(own)]
+    usual = b" " + b" ".join(common[COMMON_WORDS:] or [b"-"]) + b" "
+    fill = (usual * (len(own) // len(usual) + 1))[: len(own)]
     base = b" ".join(common[:COMMON_WORDS][::-1]) + FRAME
     model = Model(base + fill, base + own, window_words)
     if not segments:
@@ -162,13 +161,15 @@ def train(sample: list[tuple[str, int]], window_words: int = WINDOW_WORDS) -> Mo
         return model
     savings = model.savings()
     saved, y = [savings(_words(t)) for t, _ in sample], np.array([y for _, y in sample], float)
-    model.thresholds = _thresholds(saved, y)
+    model.evidence = _evidence(saved, y)
     x = np.array([model.features(s) for s in saved])
     w = np.zeros(x.shape[1])
     for _ in range(50):  # Newton steps of a logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x.T * (p * (1 - p))) @ x + 0.5 * np.eye(len(w)), x.T @ (y - p) - 0.5 * w)
         w += np.clip(step, -3, 3)
+    if share_of_toxic and share_of_toxic < 1:
+        w[0] += np.log(share_of_toxic / (1 - share_of_toxic)) - np.log(y.mean() / (1 - y.mean()))
     model.weights = [float(v) for v in w]
     return model
 
