@@ -14,12 +14,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from readloom.functions.columns import READ_LETTERS, barcode_slice, hamming_fixed, index_slice
-from readloom.operators.neighbors import neighborhood_rows, neighborhood_size
+from readloom.operators.neighbors import nearest_rows, neighborhood_rows, neighborhood_size
+from readloom.plans.session import local_frame
 from readloom.plans.sheet import Entry, Sheet
 from readloom.plans.template import Part
 
 #: Larger neighbourhoods aren't built: reads are then compared with each index in expressions.
 NEIGHBORHOOD_LIMIT = 1_000_000
+#: Up to so many rows, the driver builds them.
+LOCAL_LIMIT = 50_000
 
 
 @dataclass(frozen=True)
@@ -44,9 +47,13 @@ def _index_rows(entry: Entry, which: int) -> dict[str, list[int]]:
 def _with_candidates(reads: DataFrame, observed: Column, rows: dict[str, list[int]], part: Part, options: MatchOptions, prefix: str) -> DataFrame:
     """Adds {prefix}_mm and {prefix}_rows: the distance and the samples of the nearest indexes; null if none is near."""
     spark, m = reads.sparkSession, options.mismatches
-    if neighborhood_size([part.length] * len(rows), m) <= options.neighborhood_limit:
-        indexes = spark.createDataFrame(sorted(rows.items()), "idx string, rows array<int>")
-        near = neighborhood_rows(indexes, m).select(F.col("variant").alias(f"{prefix}_variant"), F.col("mm").alias(f"{prefix}_mm"), F.col("rows").alias(f"{prefix}_rows"))
+    size = neighborhood_size([part.length] * len(rows), m)
+    if size <= options.neighborhood_limit:
+        if size <= LOCAL_LIMIT:
+            near = local_frame(spark, nearest_rows(rows, m), "variant string, mm int, rows array<int>")
+        else:
+            near = neighborhood_rows(spark.createDataFrame(sorted(rows.items()), "idx string, rows array<int>"), m)
+        near = near.select(F.col("variant").alias(f"{prefix}_variant"), F.col("mm").alias(f"{prefix}_mm"), F.col("rows").alias(f"{prefix}_rows"))
         joined = reads.withColumn(f"{prefix}_seen", observed).join(F.broadcast(near), F.col(f"{prefix}_seen") == F.col(f"{prefix}_variant"), "left")
         return joined.drop(f"{prefix}_variant", f"{prefix}_seen")
     options_ = F.array(*[F.struct(F.lit(i).alias("idx"), F.array(*[F.lit(r) for r in r_]).alias("rows")) for i, r_ in sorted(rows.items())])

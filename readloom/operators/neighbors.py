@@ -5,6 +5,7 @@ It turns the approximate join of reads and samples into an equi-join.
 
 from __future__ import annotations
 
+from itertools import combinations, product
 from math import comb
 
 from pyspark.sql import DataFrame, functions as F
@@ -45,3 +46,20 @@ def neighborhood_rows(indexes: DataFrame, m: int) -> DataFrame:
     indexes."""
     found = variants(indexes, m).groupBy("variant", "mm").agg(F.array_distinct(F.flatten(F.collect_list("rows"))).alias("rows"))
     return found.groupBy("variant").agg(F.min(F.struct("mm", "rows")).alias("x")).select("variant", "x.mm", "x.rows")
+
+
+def nearest_rows(rows: dict[str, list[int]], m: int) -> list[tuple[str, int, list[int]]]:
+    """What neighborhood_rows() gives, built on the driver: for sheets of usual size this takes milliseconds, where a job
+    takes a second."""
+    found: dict[str, tuple[int, list[int]]] = {}
+    for k in range(m + 1):
+        for idx, own in sorted(rows.items()):
+            for places in combinations(range(len(idx)), k):
+                for letters in product(*[READ_LETTERS.replace(idx[p], "") for p in places]):
+                    v = list(idx)
+                    for p, c in zip(places, letters):
+                        v[p] = c
+                    mm, held = found.setdefault("".join(v), (k, []))
+                    if mm == k:
+                        held += own
+    return [(v, mm, held) for v, (mm, held) in found.items()]

@@ -6,11 +6,22 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 _shipped: set[str] = set()
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table as a local relation: Spark knows its size and runs no job for it. Arrow carries it."""
+    types = _parse_datatype_string(schema)
+    columns = list(zip(*rows)) or [()] * len(types)
+    arrow = to_arrow_schema(types)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), types)
+
+
 def session(cores: int | str = "*", partitions: int | None = None, **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster, build the session as usual."""
     b = SparkSession.builder.master(f"local[{cores}]").appName("readloom")

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from readloom.plans.session import local_frame
 from readloom.plans.template import Template, parse_template
 
 # fixed values: the columns of a sample sheet
@@ -89,7 +90,7 @@ class Sheet:
         n = len(self.samples)
         rows = [(s.row, s.sample_id, s.job_number, "sample") for s in self.samples]
         rows += [(n, undetermined, MISSING, "undetermined"), (n + 1, ambiguous, MISSING, "ambiguous")]
-        return spark.createDataFrame(rows, "row_ix int, sample_id string, job_number string, role string")
+        return local_frame(spark, rows, "row_ix int, sample_id string, job_number string, role string")
 
 
 def parse_sheet(lines: Iterable[str]) -> list[Sample]:

@@ -69,8 +69,7 @@ def test_ambiguous_and_guard(spark):
 
 def test_matching_has_no_shuffle(spark):
     sheet = build_sheet([Sample(0, "a", "AAAA", "CCCC", "i74:i54"), Sample(1, "b", "GGGG", "TTTT", "i74:i54")])
-    spark.range(10).selectExpr("'AAAACCCC' as seq").write.mode("overwrite").format("noop").save()
-    out = match.assign(spark.range(10).selectExpr("concat('AAAACCCC', '') as seq"), sheet)
+    out = match.assign(spark.range(10).selectExpr("concat(if(id % 2 = 0, 'AAAA', 'GGGN'), 'CCCC') as seq"), sheet)
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and "Python" not in plan
@@ -86,3 +85,10 @@ def test_neighborhood(spark):
         expected.update((v, least, i) for i in d if d[i] == least <= 1)
     assert Counter((r.variant, r.mm, r.idx) for r in found) == expected
     assert neighbors.neighborhood_size([8], 2) == 481
+
+
+def test_neighborhoods_built_both_ways(spark):
+    rows = {"ACGT": [0], "ACGA": [1, 2], "TTTT": [3]}
+    for m in (0, 1, 2, 3):
+        by_job = neighbors.neighborhood_rows(spark.createDataFrame(sorted(rows.items()), "idx string, rows array<int>"), m)
+        assert sorted((r.variant, r.mm, sorted(r.rows)) for r in by_job.collect()) == sorted((v, k, sorted(x)) for v, k, x in neighbors.nearest_rows(rows, m))
