@@ -30,7 +30,10 @@ PERIOD = 13
 COVER = (0, 1, 3, 9)
 CHUNK_BYTES = (1 << 20, 8 << 20)  # of input files, at least and at most
 MIN_CHUNKS = 256
+#: A bucket serves so many chunks, up to MANY_BUCKETS; then it serves so many bytes of input, as a row for each chunk and
+#: bucket would hold too little.
 CHUNKS_PER_BUCKET = 4
+MANY_BUCKETS, BUCKET_BYTES = 4096, 256 << 20
 
 _SENT = "kind int, chunk int, bucket int, payload binary"
 
@@ -212,7 +215,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     size = input_bytes(docs)
     chunk_bytes = min(max(size // 1024, CHUNK_BYTES[0]), CHUNK_BYTES[1])
     chunks = max(MIN_CHUNKS, -(-size // chunk_bytes)) if size < 1 << 60 else 1 << 16
-    f = Remover(max(1, chunks // CHUNKS_PER_BUCKET))
+    f = Remover(max(1, min(chunks // CHUNKS_PER_BUCKET, MANY_BUCKETS), size // BUCKET_BYTES if size < 1 << 60 else 0))
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)).cast("long"))
     rows = docs.select(F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("chunk"), key.alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
