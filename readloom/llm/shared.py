@@ -53,9 +53,10 @@ def text_slices(batch: pa.RecordBatch | pa.Table, column: str, limit: int = 4 <<
             begin, held = i, 0
         held += n
     yield table.slice(begin)
+    pa.default_memory_pool().release_unused()  # else a worker keeps the most that any batch took
 
 
-def sample_slices(texts: list[str], limit: int = 1 << 20) -> Iterator[pa.ChunkedArray]:
+def sample_slices(texts: list[str], limit: int = 1 << 18) -> Iterator[pa.ChunkedArray]:
     """Texts on the driver, in slices of about limit bytes, so that training holds few values for each byte at once."""
     for part in text_slices(pa.table({"text": pa.array(texts, pa.string())}), "text", limit):
         yield part.column("text")

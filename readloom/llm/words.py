@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-BLOCK = 1 << 20  # bytes whose 64-bit terms are held at once
+BLOCK = 1 << 18  # bytes whose 64-bit terms are held at once; more than _LONG
 _LONG = 1 << 16  # longer words are hashed one by one
 
 _SPACE = np.zeros(256, bool)
