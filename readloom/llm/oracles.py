@@ -7,6 +7,24 @@ import string
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
+_ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>')"
+
+OP2 = rf"""
+with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, t, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) p(t, r)),
+sized as (select *, cast(ceil(length(text) / 4) + 4 as bigint) as n from turns),
+lines as (select *, cast(sum(n) over (partition by conv_id order by turn, role, text rows between unbounded preceding and current row) as bigint) as after from sized),
+placed as (select *, after - n as before, (after - n) // 1024 as cell, (after - 1) // 1024 > (after - n) // 1024 as across, after = n and role = 'system' as head,
+  length('### ' || replace({_ESCAPED.format('role')}, ':', '\:') || ': ' || {_ESCAPED.format('text')}) + 8 as shown from lines),
+spans as (select conv_id, cell, across, min(before) as start from placed group by 1, 2, 3),
+chars as (select conv_id, shown from placed union all
+  select p.conv_id, shown from placed p join spans s on p.conv_id = s.conv_id and ((head and start > 0) or (not head and n <= 256 and after <= start and before + 256 >= start))),
+totals as (select conv_id, cast(sum(shown) as bigint) as formatted_chars from chars group by 1)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, any_value(formatted_chars) as formatted_chars
+from turns join totals using (conv_id) group by conv_id
+"""
+
 OP3 = f"""
 with rules as (select * from (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')) r(rhost, rpath, rverdict)),
 rest as (select row_number() over () as n, page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
@@ -47,4 +65,4 @@ with s as ({_shingles('documents', 'doc_id')}), t as ({_shingles('benchmark', 'i
 select doc_id, item_id, count(*) as n_shared, any_value(n_item) as n_item from s join t using (s, short) join n using (item_id) group by doc_id, item_id having 100 * count(*) >= 75 * any_value(n_item)
 """
 
-ORACLES = {"op3_url_filter": OP3, "op6_substring": OP6, "op7_neardup": OP7, "op10_decontamination": OP10}
+ORACLES = {"op2_chat": OP2, "op3_url_filter": OP3, "op6_substring": OP6, "op7_neardup": OP7, "op10_decontamination": OP10}
