@@ -187,8 +187,9 @@ def _family_links(keys: DataFrame, sizes: DataFrame, texts: DataFrame, percent:
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of pairs (u, v), those whose sets are similar, as edges a, b. A frequent u is split into groups of
     PAIRS_PER_GROUP."""
-    many = pairs.groupBy("u").agg(F.count("*").alias("n"))
-    pairs = pairs.join(many, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / PAIRS_PER_GROUP)).cast("int").alias("part"))
+    many = written(pairs.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") > PAIRS_PER_GROUP), "many")
+    part = F.pmod(F.xxhash64("v"), F.ceil(F.coalesce("n", F.lit(1)) / PAIRS_PER_GROUP)).cast("int")
+    pairs = pairs.join(many, "u", "left").select("u", "v", part.alias("part"))
     needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     texts = written(_among(texts, needed), "texts")
     members = pairs.join(texts.withColumnRenamed("doc_id", "v"), "v")
@@ -208,8 +209,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     features = written(rows.mapInArrow(_features, _FEATURES), "features")
     known = features.filter("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = written(known.join(classes, ["h1", "h2", "n_shingles"]).filter("doc_id = rep").dropDuplicates(["rep", "h1", "h2"]).select("rep", F.col("n_shingles").alias("n"), "low", "high", "bands"), "reps")
+    first = F.min(F.struct("doc_id", "low", "high", "bands")).alias("first")
+    classes = written(known.groupBy("h1", "h2", "n_shingles").agg(first, F.count("*").alias("members")), "classes")
+    reps = classes.select(F.col("first.doc_id").alias("rep"), F.col("n_shingles").alias("n"), "first.low", "first.high", "first.bands")
+    classes = classes.select("h1", "h2", "n_shingles", F.col("first.doc_id").alias("rep"), "members")
     several = known.groupBy("doc_id").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b").select("doc_id")
     bridges = known.join(several, "doc_id").join(classes, ["h1", "h2", "n_shingles"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     texts = rows.filter("doc_id is not null")
@@ -244,7 +247,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     found = links_of(pairs.filter(F.col("band") == F.array_intersect("bands_u", "bands_v")[0]))
     edges = edges if found is None else written(edges.unionAll(found), "edges")
     roots = components(edges)
-    reached = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    reached = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").filter((F.col("members") > 1) | F.col("root").isNotNull())
+    reached = written(reached.select("h1", "h2", "n_shingles", F.coalesce("root", "rep").alias("component_id")), "reached")
     linked = features.select("doc_id", "n_shingles", "h1", "h2").join(reached, ["h1", "h2", "n_shingles"], "left")
     return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id"))).alias("component_id"))
 
