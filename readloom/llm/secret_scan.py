@@ -1,13 +1,13 @@
 """Secrets in texts and in what is encoded there.
 
-Each text is the first layer of a worklist. A layer is scanned; then its URL escapes, Unicode escapes, base64 runs and
-compressed contents are unwrapped into further layers, each with a map back to the text, until nothing new comes up.
+Each text is the first layer of a worklist. A layer is scanned; then its URL and Unicode escapes are unwrapped into further
+layers, each with a map back to the text, until nothing new comes up. All that lies inside a base64 run maps to that run, so
+no places are kept there: contents are unpacked and scanned as streams, in overlapping pieces, whatever their size.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import lzma
 import re
@@ -24,8 +24,14 @@ from readloom.llm.shared import text_slices
 from readloom.llm.words import words_of
 
 KINDS = ("assign", "access", "hex")
-#: A layer that unpacks to more bytes than this isn't scanned further; its document says so in n_unopened.
+#: A base64 run with contents of more bytes than this counts in n_large.
 MAX_LAYER_BYTES = 64 << 20
+PIECE = 1 << 20  # bytes of a stream that are scanned at once
+STEP = 1 << 16  # bytes that are unpacked at once
+LEAST = 12  # bytes of the shortest match
+OVERLAP = 64  # more than the fewest characters that make a match, where spaces are single
+#: Contents nested deeper, as in archives that hold themselves, aren't opened; their run counts in n_large.
+MAX_DEPTH = 50
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -34,6 +40,7 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _UNICODE_ONE = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?|&#(?:[xX]([0-9A-Fa-f]+)|([0-9]+));")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BASE64_ON = re.compile(r"[A-Za-z0-9+/_-]*")
 _KEYWORDS = re.compile(rb"passw(?:or)?d|secret|token|api_?key")
 _ENCODED = re.compile(rb"%[0-9A-Fa-f]{2}|\\[uUx]|&#")
 
@@ -47,19 +54,16 @@ def matches(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Layer:
-    """starts, ends: for each character, the span of the document's text that it comes from; None: the text itself. One
-    value stands for all characters alike."""
+    """starts, ends: for each character, the span of the document's text that it comes from; None: the text itself."""
 
     text: str
-    starts: np.ndarray | int | None
-    ends: np.ndarray | int | None
+    starts: np.ndarray | None
+    ends: np.ndarray | None
     trail: str
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
             return start, end
-        if isinstance(self.starts, int):
-            return self.starts, self.ends
         return int(self.starts[start]), int(self.ends[end - 1])
 
 
@@ -75,8 +79,6 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | N
             if not text:
                 continue
             pieces.append(text)
-            if isinstance(layer.starts, int):
-                continue
             own = np.arange(a, b) if layer.starts is None else layer.starts[a:b]
             own_ends = np.arange(a, b) + 1 if layer.starts is None else layer.ends[a:b]
             starts.append(own if same else np.full(len(text), own[0]))
@@ -87,8 +89,6 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | N
     tail = layer.text[at:]
     pieces.append(tail)
     trail = f"{layer.trail}>{name}"
-    if isinstance(layer.starts, int):
-        return Layer("".join(pieces), layer.starts, layer.ends, trail)
     starts.append(np.arange(at, at + len(tail)) if layer.starts is None else layer.starts[at:])
     ends.append(np.arange(at, at + len(tail)) + 1 if layer.starts is None else layer.ends[at:])
     return Layer("".join(pieces), np.concatenate(starts), np.concatenate(ends), trail)
@@ -114,92 +114,267 @@ def _from_unicode(run: str) -> str | None:
     return text if text != run else None
 
 
-def _readable(data: bytes) -> str | None:
-    """data as text, if it is UTF-8 and nearly free of control characters."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
+#: How compressed contents begin, with HEAD_BYTES at most.
+_HEAD = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9][1\x17]|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
+HEAD_BYTES = 6
+_UNPACK_ERRORS = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError)
+_HEADS = (b"passw", b"secret", b"token", b"api")  # of keywords
+_MARKS = re.compile(rb"AKIA|%[0-9A-Fa-f]{2}|\\[uUx]|&#|" + _HEAD.pattern)
+_LONG = re.compile(rb"[A-Za-z0-9+/_-]{16}")
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+_CODE = _LETTERS + "=%&#;\\{}\r\n"  # what runs and escapes are made of
+_BEGUN_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]?|\\(?:[uUx]\{?[0-9A-Fa-f]{0,7})?|&(?:#[xX]?[0-9A-Fa-f]{0,7})?)\Z")
+_SPACES = re.compile(r"\x20{2,}")
+_STANDARD = str.maketrans("-_", "+/", "=\n")
+
+
+def _member(head: bytes):
+    """A decompressor for contents that begin so, and the format's name."""
+    if head[:1] in b"\x1fx":
+        return zlib.decompressobj(47), "gzip" if head[:1] == b"\x1f" else "zlib"
+    if head[:1] == b"B":
+        return bz2.BZ2Decompressor(), "bz2"
+    if head[:1] == b"\xfd":
+        return lzma.LZMADecompressor(), "xz"
+    return zstandard.ZstdDecompressor().decompressobj(), "zstd"
+
+
+def _unpack(member, name: str, data: bytes, out) -> bytes | None:
+    """Hands what data unpacks to, in bounded steps, to out. The bytes after the end, or None if the end is yet to come."""
+    if name == "zstd":
+        for i in range(0, len(data), 256):  # a few bytes can stand for 128 KB
+            out(member.decompress(data[i : i + 256]))
+            if member.eof:
+                return member.unused_data + data[i + 256 :]
         return None
-    odd = sum(1 for c in data if c < 32 and c not in b"\t\n\r" or c == 127)
-    return text if text and odd * 20 <= len(data) else None
+    while True:
+        if name in ("gzip", "zlib"):
+            got = member.decompress(data, STEP)
+            data = member.unconsumed_tail
+            more = data or len(got) == STEP
+        else:
+            got, data = member.decompress(data, STEP), b""
+            more = not member.eof and not member.needs_input
+        out(got)
+        if member.eof:
+            return member.unused_data
+        if not more:
+            return None
 
 
-class TooLarge(Exception):
-    pass
+class _Found:
+    """trails: the layers through which each kind was found in a run; large: whether some contents are."""
+
+    def __init__(self, limit: int):
+        self.limit, self.trails, self.large = limit, {}, False
+
+
+class _Stream:
+    """Bytes inside a run, of any number. Pieces end outside of runs and escapes; a run of more than half a piece is handed
+    on in parts."""
+
+    def __init__(self, trail: str, found: _Found):
+        self.trail, self.found, self.total = trail, found, 0
+        self.closed = trail.count(">") > MAX_DEPTH
+        self.new, self.rest, self.before = bytearray(), "", ""
+        self.unsearched, self.packed = b"", None
+        self.escapes: dict[str, _Stream] = {}
+        self.run: _Run | None = None
+        found.large |= self.closed
+
+    def inner(self, name: str) -> _Stream:
+        return _Stream(f"{self.trail}>{name}", self.found)
+
+    def feed(self, data: bytes) -> None:
+        if self.closed or not data:
+            return
+        self.total += len(data)
+        self.found.large |= self.total > self.found.limit
+        if not self.trail.endswith(("url", "unicode")):  # those are texts; compressed bytes only look like escapes
+            self._search(data)
+        self.new += data
+        if len(self.new) + len(self.rest) >= PIECE:
+            self._pass(last=False)
+
+    def close(self) -> None:
+        if not self.closed:
+            self._pass(last=True)
+            for x in [*self.escapes.values(), *(self.packed or [])[2:]]:
+                x.close()
+
+    def _search(self, data: bytes) -> None:
+        """Unpacks compressed contents wherever they begin."""
+        data, at, begin = self.unsearched + data, 0, -1
+        self.unsearched = b""
+        while True:
+            if self.packed is None:
+                m = _HEAD.search(data, at)
+                if m is None:
+                    self.unsearched = data[max(at, len(data) - HEAD_BYTES + 1) :]
+                    return
+                at = begin = m.start()
+                member, name = _member(m[0])
+                self.packed = [member, name, self.inner(name)]
+            member, name, inner = self.packed
+            try:
+                left = _unpack(member, name, data[at:], inner.feed)
+            except _UNPACK_ERRORS:
+                at = begin + 1
+            else:
+                if left is None:
+                    return
+                at = len(data) - len(left)
+            inner.close()
+            self.packed = None
+
+    def _end(self, text: str) -> int:
+        """How much of text can be passed on, the rest being kept until more is known."""
+        least = len(text) // 2
+        end = len(text.rstrip(" ").rstrip(_CODE))
+        if end >= least:
+            return end
+        end = len(text.rstrip(" \r\n\\"))
+        start = len(text[:end].rstrip(_LETTERS + "\n"))
+        end = start if start >= least else end
+        if m := _BEGUN_ESCAPE.search(text, max(0, end - 12), end):
+            end = m.start()
+        return end if end >= least else len(text)
+
+    def _pass(self, last: bool) -> None:
+        text = _SPACES.sub(" ", self.rest + self.new.decode("latin-1"))
+        self.new.clear()
+        end = len(text) if last else self._end(text)
+        text, self.rest = text[:end], text[end:]
+        piece = self.before + text
+        for kind in _kinds(piece):
+            self.found.trails.setdefault(kind, self.trail)
+        for name, pattern, decode in (("url", _URL, _url_bytes), ("unicode", _UNICODE, _unicode_bytes)):
+            inner = self.escapes.get(name)
+            if inner is None and pattern.search(text):
+                inner = self.escapes[name] = self.inner(name)
+                inner.feed(self.before.encode("latin-1"))
+            if inner is not None:
+                inner.feed(pattern.sub(decode, text).encode("latin-1"))
+        self.before = piece[-OVERLAP:]
+        at = 0
+        if self.run is not None:
+            at = _BASE64_ON.match(text).end()
+            self.run.feed(text[:at])
+            if last or at < len(text):
+                self.run.close()
+                self.run = None
+        for m in _BASE64.finditer(text, at):
+            if m.end() == len(text) and not last:
+                self.run = _Run(f"{self.trail}>base64", self.found)
+                self.run.feed(m[0])
+            else:
+                _scan_run(m[0], f"{self.trail}>base64", self.found)
 
 
-def _unpacked(data: bytes, limit: int) -> tuple[str, bytes] | None:
-    """What data holds if it is compressed: the format's name and the contents."""
-    try:
-        if data[:2] == b"\x1f\x8b" or len(data) > 6 and data[0] == 0x78 and int.from_bytes(data[:2], "big") % 31 == 0:
-            name, d = ("gzip" if data[0] == 0x1F else "zlib"), zlib.decompressobj(47)
-            out = d.decompress(data, limit + 1)
-        elif data[:3] == b"BZh":
-            name, out = "bz2", bz2.BZ2Decompressor().decompress(data, limit + 1)
-        elif data[:6] == b"\xfd7zXZ\0":
-            name, out = "xz", lzma.LZMADecompressor().decompress(data, limit + 1)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            name = "zstd"
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(limit + 1)
-        else:
-            return None
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    if len(out) > limit:
-        raise TooLarge
-    return (name, out) if out else None
+def _url_bytes(m: re.Match) -> str:
+    return bytes.fromhex(m[0].replace("%", "")).decode("latin-1")
 
 
-def _base64_bytes(run: str) -> bytes | None:
-    body = run.rstrip("=")
-    if body[1:].islower() or len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+def _unicode_bytes(m: re.Match) -> str:
+    codes = (int(x[1] or x[2], 16) if x[1] or x[2] else int(x[3]) for x in _UNICODE_ONE.finditer(m[0]))
+    return "".join(chr(c) if c < 256 else "?" for c in codes)  # no other letters are in secrets
+
+
+def _has_keyword(data: bytes) -> bool:
+    data = data.lower()
+    return any(x in data for x in _HEADS)
+
 
+def _kinds(piece: str) -> Iterator[int]:
+    """The kinds that matches() finds."""
+    if _has_keyword(piece.encode("latin-1")) and any(len(m[2]) >= 6 for m in _ASSIGN.finditer(piece)):
+        yield 0
+    if any(len(m[0]) >= 20 for m in _ACCESS.finditer(piece)):
+        yield 1
+    if _HEX.search(piece):
+        yield 2
 
-def _inner(layer: Layer, limit: int) -> Iterator[Layer | None]:
-    """The layers one step inside; None for one that is too large."""
+
+def _base64_bytes(letters: str) -> bytes:
+    n = len(letters) - (len(letters) % 4 == 1)
+    return base64.b64decode(letters[:n] + "=" * (-n % 4))
+
+
+ALIGNMENTS = 1
+
+
+class _Run:
+    """A base64 run that comes in parts."""
+
+    def __init__(self, trail: str, found: _Found):
+        self.inner = [_Stream(trail, found) for _ in range(ALIGNMENTS)]
+        self.skip, self.left = [*range(ALIGNMENTS)], [""] * ALIGNMENTS
+
+    def feed(self, letters: str) -> None:
+        letters = letters.translate(_STANDARD)
+        for i, inner in enumerate(self.inner):
+            part = self.left[i] + letters
+            skip = min(self.skip[i], len(part))
+            self.skip[i] -= skip
+            n = skip + (len(part) - skip) // 4 * 4
+            self.left[i] = part[n:]
+            for at in range(skip, n, STEP):
+                inner.feed(base64.b64decode(part[at : min(n, at + STEP)]))
+
+    def close(self) -> None:
+        for inner, left in zip(self.inner, self.left):
+            inner.feed(_base64_bytes(left))
+            inner.close()
+
+
+def _scan_run(letters: str, trail: str, found: _Found) -> None:
+    letters = letters.translate(_STANDARD)
+    for skip in range(ALIGNMENTS):
+        data = _base64_bytes(letters[skip:])
+        if len(data) >= LEAST and (_has_keyword(data) or _MARKS.search(data) or _LONG.search(data)):
+            inner = _Stream(trail, found)
+            for at in range(0, len(data), STEP):
+                inner.feed(data[at : at + STEP])
+            inner.close()
+
+
+def _runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """start, end and letters of the base64 runs."""
+    for m in _BASE64.finditer(text):
+        yield m.start(), m.end(), m[0]
+
+
+def _inner(layer: Layer) -> Iterator[Layer]:
+    """The layers one step inside whose characters have places of their own."""
     if "%" in layer.text and (x := _replaced(layer, _URL, _from_url, "url")):
         yield x
     if ("\\" in layer.text or "&#" in layer.text) and (x := _replaced(layer, _UNICODE, _from_unicode, "unicode")):
         yield x
-    for m in _BASE64.finditer(layer.text):
-        if (data := _base64_bytes(m[0])) is None:
-            continue
-        trail = f"{layer.trail}>base64"
-        try:
-            while (packed := _unpacked(data, limit)) is not None and packed[1] != data:
-                trail, data = f"{trail}>{packed[0]}", packed[1]
-        except TooLarge:
-            yield None
-            continue
-        if (text := _readable(data)) is not None:
-            yield Layer(text, *layer.span(*m.span()), trail)
 
 
 def scan_text(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int, int], str], int]:
-    """The base matches; all spans (kind, start, end) with the layers that each was found through; the unopened layers."""
+    """The base matches; all spans (kind, start, end) with the layers that each was found through; the number of base64 runs
+    with contents of more than limit bytes, which are scanned as all others, or nested more than MAX_DEPTH times."""
     base = sorted(matches(text), key=lambda x: (x[1], x[0]))
     found = {x: "" for x in base}
-    seen, work, unopened = {(text, None, None)}, [Layer(text, None, None, "")], 0
+    seen, work, large = {text}, [Layer(text, None, None, "")], set()
     while work:
         layer = work.pop()
         if layer.trail:
             for kind, a, b in matches(layer.text):
                 found.setdefault((kind, *layer.span(a, b)), layer.trail[1:])
-        for x in _inner(layer, limit):
-            if x is None:
-                unopened += 1
-                continue
-            at = (x.text, x.starts, x.ends) if isinstance(x.starts, int) else (x.text, None, None)
-            if at not in seen:  # else the layers would go round
-                seen.add(at)
+        for a, b, letters in _runs(layer.text):
+            inside, span = _Found(limit), layer.span(a, b)
+            _scan_run(letters, f"{layer.trail}>base64", inside)
+            for kind, trail in inside.trails.items():
+                found.setdefault((kind, *span), trail[1:])
+            if inside.large:
+                large.add(span)
+        for x in _inner(layer):
+            if x.text not in seen:  # else the layers would go round
+                seen.add(x.text)
                 work.append(x)
-    return base, found, unopened
+    return base, found, len(large)
 
 
 def _suspects(rows: pa.Table) -> np.ndarray:
@@ -226,17 +401,17 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 def _scan(limit: int, mask: str | None, keep: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in text_slices(batch, "text"):
-            texts, spans, unopened = rows.column("text").to_pylist(), [], []
+            texts, spans, large = rows.column("text").to_pylist(), [], []
             for i, suspect in enumerate(_suspects(rows).tolist()):
                 if not suspect:
                     spans.append([])
-                    unopened.append(0)
+                    large.append(0)
                     continue
                 base, found, n = scan_text(texts[i], limit)
                 base = set(base)
                 order = sorted(found, key=lambda x: (x[1], x[0], x[2]))
                 spans.append([{"kind": KINDS[k], "start": a, "end": b, "layers": found[k, a, b], "base": (k, a, b) in base} for k, a, b in order])
-                unopened.append(n)
+                large.append(n)
                 if mask is not None and order:
                     texts[i] = redacted(texts[i], [(a, b) for _, a, b in order], mask)
             if mask is not None:
@@ -244,7 +419,7 @@ def _scan(limit: int, mask: str | None, keep: list[str], batches: Iterator[pa.Re
                 rows = rows.set_column(at, "text", pa.array(texts, pa.string()))
                 yield from rows.select(keep).to_batches()
             else:
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), pa.array(spans, _SPANS), pa.array(unopened, pa.int64())], ["doc_id", "spans", "n_unopened"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), pa.array(spans, _SPANS), pa.array(large, pa.int64())], ["doc_id", "spans", "n_large"])
 
 
 def redacted(text: str, spans: list[tuple[int, int]], mask: str) -> str:
@@ -258,12 +433,13 @@ def redacted(text: str, spans: list[tuple[int, int]], mask: str) -> str:
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = MAX_LAYER_BYTES) -> DataFrame:
     """doc_id, spans (kind, start, end in code points, end exclusive, the layers it was found through, and whether it is a
-    match in the plain text), by start and kind, and n_unopened (compressed contents larger than limit bytes).
+    match in the plain text), by start and kind, and n_large (base64 runs with contents of more than limit bytes, which are scanned as all others, or nested more
+    than MAX_DEPTH times).
 
     A null text counts as empty. Repeated rows are scanned each; other columns are left out.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = "doc_id long, spans array<struct<kind:string,start:long,end:long,layers:string,base:boolean>>, n_unopened long"
+    schema = "doc_id long, spans array<struct<kind:string,start:long,end:long,layers:string,base:boolean>>, n_large long"
     return rows.mapInArrow(lambda it: _scan(limit, None, [], it), schema)
 
 

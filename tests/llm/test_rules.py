@@ -130,6 +130,32 @@ def test_secret_cycles_and_limits():
     assert S.scan_text(text)[0] == [(0, 0, len("token = ") + 20), (1, 8, 28), (0, text.index("secret"), len(text))]
 
 
+@pytest.mark.parametrize("piece", [300, 3001])
+def test_secret_large_contents(monkeypatch, piece):
+    """Contents over the limit, in many pieces: secrets anywhere, within long runs and escapes and across pieces."""
+    monkeypatch.setattr(S, "PIECE", piece)
+    monkeypatch.setattr(S, "STEP", 100)
+    filler = "".join(f"{i * 7919 % 1000003} lines of a log.\n" for i in range(700))
+    random = base64.b64encode(bytes(i * i % 251 for i in range(9000))).decode()
+    inner = base64.b64encode(gzip.compress(f"{filler} {KEY} {filler}".encode())).decode()
+    escaped = "".join(f"%{c:02x}" for c in f"{filler[:3000]} {KEY} {filler[:3000]}".encode())
+    spaces = "password" + " " * 5000 + "= hunter22"
+    for kind, secret in ((1, KEY), (2, "0123456789abcdef" * 2), (0, spaces), (1, inner), (1, escaped), (1, f"{random}.{KEY}")):
+        for before, after in ((filler, ""), ("", filler), (filler[:2990], filler)):
+            for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+                code = base64.b64encode(pack(f"{before} {secret} {after}".encode())).decode()
+                found = S.scan_text(f"see [{code}] end", limit=1000)
+                assert (kind, 5, 5 + len(code.rstrip("="))) in {(k, a, b - code.count("=")) for k, a, b in found[1]} and found[2] == 1
+    assert not S.scan_text(f"see [{base64.b64encode(gzip.compress(filler.encode())).decode()}] end", limit=1000)[1]
+
+
+def test_large_contents_are_masked(spark):
+    code = base64.b64encode(gzip.compress(b"log line\n" * 1000 + b"password=hunter22")).decode()
+    docs = spark.createDataFrame([(1, f"a {code} b")], "doc_id long, text string")
+    assert S.redact(docs, limit=1000).first().text == "a [SECRET] b"
+    assert S.scan(docs, limit=1000).first().n_large == 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.sampled_from(list("AKIA token=:\"'secret_apikeyſK9f0%2\\u&#;é\n")), max_size=80))
 def test_secret_base(text):
