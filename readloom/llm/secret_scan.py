@@ -28,6 +28,8 @@ KINDS = ("assign", "access", "hex")
 MAX_LAYER_BYTES = 64 << 20
 PIECE = 1 << 20  # bytes of a stream that are scanned at once
 STEP = 1 << 16  # bytes that are unpacked at once
+#: Places at which the letters of a run can begin, as other letters may adjoin them.
+ALIGNMENTS = 4
 LEAST = 12  # bytes of the shortest match
 OVERLAP = 64  # more than the fewest characters that make a match, where spaces are single
 #: Contents nested deeper, as in archives that hold themselves, aren't opened; their run counts in n_large.
@@ -40,7 +42,11 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _UNICODE_ONE = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?|&#(?:[xX]([0-9A-Fa-f]+)|([0-9]+));")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_BASE64_ON = re.compile(r"[A-Za-z0-9+/_-]*")
+#: A line break, plain or escaped, with the space around.
+_BREAK = re.compile(r"[\x20\t]*+(?:\r?\n|(?:\\r)?\\n)[\x20\t]*+")
+#: Runs of one or several lines.
+_LINES = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}+(?:{_BREAK.pattern}[A-Za-z0-9+/_-]++)*+={{0,2}}")
+_LINES_ON = re.compile(r"[A-Za-z0-9+/_\n-]*")
 _KEYWORDS = re.compile(rb"passw(?:or)?d|secret|token|api_?key")
 _ENCODED = re.compile(rb"%[0-9A-Fa-f]{2}|\\[uUx]|&#")
 
@@ -94,11 +100,8 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | N
     return Layer("".join(pieces), np.concatenate(starts), np.concatenate(ends), trail)
 
 
-def _from_url(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _from_url(run: str) -> str:
+    return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
 
 
 def _from_unicode(run: str) -> str | None:
@@ -106,11 +109,8 @@ def _from_unicode(run: str) -> str | None:
         code = int(m[1] or m[2], 16) if m[1] or m[2] else int(m[3])
         return chr(code) if code < 0x110000 else m[0]
 
-    try:
-        text = _UNICODE_ONE.sub(one, run)
-        text = text.encode("utf-16", "surrogatepass").decode("utf-16")  # joins pairs
-    except UnicodeError:
-        return None
+    text = _UNICODE_ONE.sub(one, run)
+    text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # joins pairs
     return text if text != run else None
 
 
@@ -198,12 +198,14 @@ class _Stream:
 
     def close(self) -> None:
         if not self.closed:
+            if self.packed:
+                self._search(b"", last=True)
             self._pass(last=True)
             for x in [*self.escapes.values(), *(self.packed or [])[2:]]:
                 x.close()
 
-    def _search(self, data: bytes) -> None:
-        """Unpacks compressed contents wherever they begin."""
+    def _search(self, data: bytes, last: bool = False) -> None:
+        """Unpacks compressed contents wherever they begin; members that follow one another are one content."""
         data, at, begin = self.unsearched + data, 0, -1
         self.unsearched = b""
         while True:
@@ -216,6 +218,23 @@ class _Stream:
                 member, name = _member(m[0])
                 self.packed = [member, name, self.inner(name)]
             member, name, inner = self.packed
+            if member is None:  # between two members of one content
+                at = max(at, len(data) - len(data[at:].lstrip(b"\0")))  # padding
+                head = data[at : at + 8]
+                skipped = head[1:4] == b"\x2a\x4d\x18" and head[0] >> 4 == 5  # a frame of zstd without content
+                size = 8 + int.from_bytes(head[4:], "little") if skipped and len(head) == 8 else 8
+                if len(head) < 8 and not last or skipped and at + size > len(data) and size <= PIECE and not last:
+                    self.unsearched = data[at:]
+                    return
+                if skipped and at + size <= len(data):
+                    at += size
+                    continue
+                if not _HEAD.match(data, at):
+                    inner.close()
+                    self.packed = None
+                    continue
+                begin = at
+                self.packed[:2] = member, name = _member(head)
             try:
                 left = _unpack(member, name, data[at:], inner.feed)
             except _UNPACK_ERRORS:
@@ -224,6 +243,8 @@ class _Stream:
                 if left is None:
                     return
                 at = len(data) - len(left)
+                self.packed[0] = None
+                continue
             inner.close()
             self.packed = None
 
@@ -241,7 +262,7 @@ class _Stream:
         return end if end >= least else len(text)
 
     def _pass(self, last: bool) -> None:
-        text = _SPACES.sub(" ", self.rest + self.new.decode("latin-1"))
+        text = _SPACES.sub(" ", _BREAK.sub("\n", self.rest + self.new.decode("latin-1")))
         self.new.clear()
         end = len(text) if last else self._end(text)
         text, self.rest = text[:end], text[end:]
@@ -258,12 +279,12 @@ class _Stream:
         self.before = piece[-OVERLAP:]
         at = 0
         if self.run is not None:
-            at = _BASE64_ON.match(text).end()
+            at = _LINES_ON.match(text).end()
             self.run.feed(text[:at])
             if last or at < len(text):
                 self.run.close()
                 self.run = None
-        for m in _BASE64.finditer(text, at):
+        for m in _LINES.finditer(text, at):
             if m.end() == len(text) and not last:
                 self.run = _Run(f"{self.trail}>base64", self.found)
                 self.run.feed(m[0])
@@ -300,9 +321,6 @@ def _base64_bytes(letters: str) -> bytes:
     return base64.b64decode(letters[:n] + "=" * (-n % 4))
 
 
-ALIGNMENTS = 1
-
-
 class _Run:
     """A base64 run that comes in parts."""
 
@@ -339,9 +357,13 @@ def _scan_run(letters: str, trail: str, found: _Found) -> None:
 
 
 def _runs(text: str) -> Iterator[tuple[int, int, str]]:
-    """start, end and letters of the base64 runs."""
-    for m in _BASE64.finditer(text):
-        yield m.start(), m.end(), m[0]
+    """start, end and letters of the base64 runs, in one line and across lines."""
+    for m in _LINES.finditer(text):
+        for run in _BASE64.finditer(text, *m.span()):
+            yield run.start(), run.end(), run[0]
+        joined = _BREAK.sub("", m[0])
+        if len(joined) < len(m[0]):
+            yield m.start(), m.end(), joined
 
 
 def _inner(layer: Layer) -> Iterator[Layer]:

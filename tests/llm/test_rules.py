@@ -135,7 +135,7 @@ def test_secret_large_contents(monkeypatch, piece):
     """Contents over the limit, in many pieces: secrets anywhere, within long runs and escapes and across pieces."""
     monkeypatch.setattr(S, "PIECE", piece)
     monkeypatch.setattr(S, "STEP", 100)
-    filler = "".join(f"{i * 7919 % 1000003} lines of a log.\n" for i in range(700))
+    filler = "".join(f"{i * 7919 % 1000003} lines of a log.\n" for i in range(300))
     random = base64.b64encode(bytes(i * i % 251 for i in range(9000))).decode()
     inner = base64.b64encode(gzip.compress(f"{filler} {KEY} {filler}".encode())).decode()
     escaped = "".join(f"%{c:02x}" for c in f"{filler[:3000]} {KEY} {filler[:3000]}".encode())
@@ -149,6 +149,51 @@ def test_secret_large_contents(monkeypatch, piece):
     assert not S.scan_text(f"see [{base64.b64encode(gzip.compress(filler.encode())).decode()}] end", limit=1000)[1]
 
 
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+def test_secret_wrapped_base64():
+    filler = "".join(chr(33 + i * i % 90) for i in range(60))
+    plain, packed = f"{filler} password=hunter22secret {filler}".encode(), gzip.compress(f"{filler * 9} {KEY}".encode())
+    for kind, data in ((0, plain), (1, packed)):
+        for width in (20, 64, 76):
+            for sep in ("\n", "\r\n", "\n    ", "\\n"):
+                lines = [b64(data)[i : i + width] for i in range(0, len(b64(data)), width)]
+                code = sep.join(lines)
+                found = S.scan_text(f"see [{code}] end")[1]
+                assert any(k == kind and a == 5 and b >= 5 + len(code.rstrip("=")) for k, a, b in found), (kind, width, sep)
+        armored = "-----BEGIN CERTIFICATE-----\n" + "\n".join(lines) + "\n-----END CERTIFICATE-----"
+        assert any(k == kind for k, *_ in S.scan_text(armored)[1])
+
+
+def test_secret_wrapped_in_large_contents(monkeypatch):
+    monkeypatch.setattr(S, "PIECE", 3000)
+    data = b64(bytes(i * i % 251 for i in range(9000)) + gzip.compress(f"my key {KEY} ok".encode()))
+    for sep in ("\n", "\r\n"):
+        inner = sep.join(data[i : i + 76] for i in range(0, len(data), 76))
+        assert any(k == 1 for k, *_ in S.scan_text(b64(gzip.compress(f"see {inner} end".encode())), limit=1000)[1]), sep
+
+
+def test_secret_members_and_alignments():
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        first, second = pack(b"a line of text, passw"), pack(b"ord=hunter22 and more")
+        assert any(k == 0 for k, *_ in S.scan_text(b64(first + second))[1]), pack
+        assert any(k == 1 for k, *_ in S.scan_text(b64(first + pack(b"a") + pack(f"key {KEY}".encode())))[1]), pack
+        assert any(k == 1 for k, *_ in S.scan_text(b64(b"some bytes" + pack(f"key {KEY}".encode())))[1]), pack
+    frame = b"\x50\x2a\x4d\x18\4\0\0\0abcd"
+    assert any(k == 0 for k, *_ in S.scan_text(b64(zstandard.compress(b"passw") + frame + zstandard.compress(b"ord=hunter22")))[1])
+    for before in ("a", "a/", "id_", "path"):
+        for code in (b64(f"my key {KEY} ok".encode()), b64(gzip.compress(f"my key {KEY} ok".encode()))):
+            assert any(k == 1 for k, *_ in S.scan_text(f"{before}{code}")[1]), before
+
+
+def test_secret_not_quite_utf8():
+    raw = b"caf\xe9 \0\1\2 password=hunter22"
+    for code in (b64(raw), b64(gzip.compress(raw)), "".join(f"%{c:02X}" for c in raw), r"\ud800" + "".join(f"\\u{c:04x}" for c in raw)):
+        assert any(k == 0 for k, *_ in S.scan_text(f"x {code} y")[1]), code
+
+
 def test_large_contents_are_masked(spark):
     code = base64.b64encode(gzip.compress(b"log line\n" * 1000 + b"password=hunter22")).decode()
     docs = spark.createDataFrame([(1, f"a {code} b")], "doc_id long, text string")
