@@ -1,8 +1,8 @@
 """Toxicity by compression distance: how much shorter windows get with a toxic dictionary than with an ordinary one.
 
 Both zstandard dictionaries begin with the commonest words. The ordinary one goes on with more ordinary words; the toxic
-one, in the same space, with the segments that tell toxic training documents apart: word beginnings that are frequent
-there and nearly absent elsewhere, found by document counts. (A trainer run on the whole texts gives two dictionaries that
+one, in the same space, with the segments that tell toxic training documents apart: word beginnings that are nearly absent
+elsewhere, and in more toxic documents than chance explains for any of all beginnings, however small their share is. (A trainer run on the whole texts gives two dictionaries that
 hardly differ, as only about one word in a hundred does.) Each window is compressed between frames that both hold. A window counts if it saves at least
 the bytes that are set for its length. These thresholds, how telling a saving is, and the weights of the sum, share and
 maximum of what counts are calibrated on the training documents.
@@ -12,6 +12,7 @@ Windows of one word have the least noise: longer ones also save or lose bytes wh
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -26,8 +27,10 @@ from readloom.llm.shared import text_slices
 
 WINDOW_WORDS = 1
 COMMON_WORDS = 2500
-MIN_SHARE = 0.04  # of toxic documents, for a segment
-MAX_RATIO = 0.02  # of its share of ordinary documents to that
+#: How many segments may pass for telling by chance, among all that are looked at.
+CHANCE = 0.05
+MIN_DOCUMENTS = 5  # with different surroundings, for a segment
+MAX_RATIO = 0.05  # of a segment's share of ordinary documents to its share of toxic ones
 SEGMENT = (3, 14)  # letters
 CACHED_WINDOWS = 200_000
 #: Each window stands between parts of this, which both dictionaries hold, so that it is coded by matches however short it
@@ -49,23 +52,32 @@ def _beginnings(words: list[str]) -> set[str]:
     return {w[:n] for w in words for n in range(low, min(len(w), high) + 1)}
 
 
-def _segments(toxic: list[list[str]], ordinary: list[list[str]], min_share: float, max_ratio: float) -> list[str]:
+def _by_chance(a: int, b: int, share: float) -> float:
+    """The probability that of a + b documents a or more are toxic, if each is with probability share."""
+    n, log = a + b, lambda k: math.lgamma(k + 1)
+    return sum(math.exp(log(n) - log(k) - log(n - k) + k * math.log(share) + (n - k) * math.log1p(-share)) for k in range(a, n + 1))
+
+
+def _segments(toxic: list[list[str]], ordinary: list[list[str]], chance: float, max_ratio: float) -> list[str]:
     """The word beginnings that tell toxic documents apart, the most frequent last: of each family the shortest one, drawn
     out for as long as it keeps most of its documents. Documents count as one where the words around are the same, so what
     near copies share doesn't pass for telling."""
     documents, around = Counter(), defaultdict(set)
     for words in toxic:
         documents.update(_beginnings(words))
-    a = {p for p, n in documents.items() if n >= max(5, min_share * len(toxic))}
+    a = {p for p, n in documents.items() if n >= MIN_DOCUMENTS}
+    b = Counter()
+    for words in ordinary:
+        b.update(_beginnings(words) & a)
+    tried, share = len(documents), len(toxic) / (len(toxic) + len(ordinary))
+    rare = lambda p, n: b[p] * len(toxic) <= max_ratio * n * len(ordinary)
+    a = {p for p in a if rare(p, documents[p])}
     for words in toxic:
         for before, w, after in zip(["", *words], words, [*words[1:], ""]):
             for p in _beginnings([w]) & a:
                 around[p].add((before, after))
-    a = {p: n for p in a if (n := min(documents[p], len(around[p]))) >= max(5, min_share * len(toxic))}
-    b = Counter()
-    for words in ordinary:
-        b.update(_beginnings(words) & a.keys())
-    telling = {p for p in a if (b[p] + 0.5) * len(toxic) <= max_ratio * a[p] * len(ordinary)}
+    a = {p: n for p in a if (n := min(documents[p], len(around[p]))) >= MIN_DOCUMENTS}
+    telling = {p for p, n in a.items() if rare(p, n) and tried * _by_chance(n, b[p], share) <= chance}
     out = set()
     for p in (p for p in telling if p[:-1] not in telling):
         while longer := [q for q in telling if len(q) == len(p) + 1 and q.startswith(p) and a[q] >= 0.8 * a[p]]:
@@ -150,7 +162,7 @@ def train(sample: list[tuple[str, int]], share_of_toxic: float | None = None, wi
     texts = [([w.decode() for w in _words(t)], y) for t, y in sample]
     share = sum(y for _, y in sample) / max(1, len(sample))
     common = [w for w, _ in Counter(w for t, y in sample if not y for w in _words(t)).most_common(2 * COMMON_WORDS)]
-    segments = [p.encode() for p in _segments([t for t, y in texts if y], [t for t, y in texts if not y], MIN_SHARE, MAX_RATIO)] if 0 < share < 1 else []
+    segments = [p.encode() for p in _segments([t for t, y in texts if y], [t for t, y in texts if not y], CHANCE, MAX_RATIO)] if 0 < share < 1 else []
     own = b" " + b" ".join(segments) + b" "
     usual = b" " + b" ".join(common[COMMON_WORDS:] or [b"-"]) + b" "
     fill = (usual * (len(own) // len(usual) + 1))[: len(own)]

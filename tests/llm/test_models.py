@@ -46,6 +46,25 @@ def test_toxicity(spark):
     assert model.ordinary != model.toxic and len(model.ordinary) == len(model.toxic)
 
 
+def test_rare_and_minority_toxic_words():
+    """A tenth of the toxic texts is in another language, with words that a third of those, 3 % of all, have."""
+    rng = random.Random(6)
+
+    def text(y, other):
+        w = prose(rng, rng.randrange(40, 80)).split()
+        w = [x.replace("e", "ü").replace("o", "ä") + "sz" for x in w] if other else w
+        for x in rng.sample(["gazfick", "bolondvar", "hülyemag"], 1) if other else rng.sample(["grumble", "zounds", "blighter"], 2):
+            for _ in range(2 * y):
+                w.insert(rng.randrange(len(w)), x)
+        return " ".join(w), y
+
+    model = toxicity.train([text(y, i % 10 == 0) for y in (0, 1) for i in range(900)])
+    savings = model.savings()
+    for other in (False, True):
+        scores = [(model.score(savings(toxicity._words(t))) >= 0.5, y) for t, y in (text(y, other) for y in (0, 1) for _ in range(100))]
+        assert np.mean([p == y for p, y in scores]) > 0.95, other
+
+
 def test_toxicity_without_classes(spark):
     for sample, least, most in (([], 0, 1), ([("a b c d e", 1)], 0.5, 1), ([("a b c d e", 0)], 0, 0.5)):
         s = toxicity.score(documents(spark, [(1, "anything")]), toxicity.train(sample)).first().score
