@@ -204,8 +204,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
 
     Null and empty texts and texts of white space have no shingles and no links. Rows that share a doc_id are one document
     with several sets: a link of any is a link of all. A row without doc_id keeps a null component_id. Other columns are
-    left out.
+    left out. percent is PERCENT at least, as the bands and LEAST_EQUAL are set for that and would lose links below.
     """
+    if percent < PERCENT:
+        raise ValueError(f"percent is below {PERCENT}")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     features = written(rows.mapInArrow(_features, _FEATURES), "features")
     known = features.filter("doc_id is not null and n_shingles > 0")

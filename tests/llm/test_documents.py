@@ -231,3 +231,9 @@ def test_least_hits():
 
 def test_digest_of_pieces():
     assert zlib.crc32(struct.pack("<2I", 7, 1)) == zlib.crc32(b"\x07\0\0\0\x01\0\0\0")
+
+
+def test_near_duplicates_refuses_low_percent(spark):
+    for find in (neardup.near_duplicates, neardup.without_near_duplicates):
+        with pytest.raises(ValueError, match="percent"):
+            find(documents(spark, [(1, "a b c d e f")]), percent=50)
