@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from readloom.llm import labelled, line_rules, quality, toxicity
@@ -43,7 +44,60 @@ def test_toxicity(spark):
     right = [(got[i] >= 0.5) == bool(y) for i, _, y in rows[500:]]
     assert np.mean(right) > 0.95 and len(got) == 205 and all(0 <= s <= 1 for s in got.values())
     assert got[900] == got[901] == got[902] < 0.5
-    assert model.ordinary != model.toxic and len(model.ordinary) == len(model.toxic)
+    assert got[900] == model.score([]) and len(model.toxic) <= toxicity.OWN_BYTES and len(model.ordinary) <= toxicity.ORDINARY_BYTES + toxicity.OWN_BYTES
+
+
+def test_toxic_phrases_of_ordinary_words(spark):
+    """Every word is as frequent in ordinary texts; only their sequence is toxic."""
+    rng = random.Random(12)
+    phrases = ["go jump off there", "nobody ever wanted you", "your kind must leave"]
+    words = sorted({w for p in phrases for w in p.split()})
+
+    def text(y):
+        w = prose(rng, rng.randrange(60, 150)).split()
+        for _ in range(rng.randrange(2, 5)):
+            if y:
+                w.insert(rng.randrange(len(w)), rng.choice(phrases))
+            else:
+                for x in rng.sample(words, 4):
+                    w.insert(rng.randrange(len(w)), x)
+        return " ".join(w), y
+
+    sample, held = ([text(i % 3 == 0) for i in range(n)] for n in (900, 300))
+    model = toxicity.train([(t, int(y)) for t, y in sample])
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(documents(spark, [(i, t) for i, (t, _) in enumerate(held)]), model).collect()}
+    assert np.mean([got[i] == y for i, (_, y) in enumerate(held)]) > 0.9
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """Windows are cut and compressed by plain means; with a saving's evidence and the weights they give the same score."""
+    rng = random.Random(13)
+    model = toxicity.train([(t, y) for _, t, y in toxic_rows(rng, 400)])
+    rows = [(i, t) for i, t, _ in toxic_rows(rng, 40)] + ODD + [(905, "one two"), (906, " ".join(f"w{k}" for k in range(9))), (None, "a null id")]
+    got = {r.doc_id: r.score for r in toxicity.score(documents(spark, rows), model).collect()}
+    params = zstandard.ZstdCompressionParameters(compression_level=3, window_log=17, hash_log=15, chain_log=15, search_log=6, min_match=4, strategy=zstandard.STRATEGY_LAZY, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+    def size(window, content):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=params)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(window))
+
+    for i, t in rows:
+        w = WORD.findall((t or "").lower())
+        starts = [k for k in range(0, len(w), 6) if k == 0 or k + 2 < len(w)]
+        windows = [f" {' '.join(w[k : k + 8])} ".encode() for k in starts]
+        saved = [size(x, model.ordinary) - size(x, model.toxic + model.ordinary) for x in windows]
+        told = [model.evidence[min(max(d, 0), 15)] for d in saved]
+        x = [1, np.log1p(sum(told)), np.log1p(len(told)), sum(told) / max(1, len(told)), max(told, default=0)]
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(np.dot(x, model.weights), -30, 30)))) < 1e-12, i
+
+
+def test_toxicity_of_repeats_and_nothing(spark):
+    model = toxicity.train([(t, y) for _, t, y in toxic_rows(random.Random(14), 300)])
+    text = "you varlet " + prose(random.Random(15), 60)
+    got = toxicity.score(documents(spark, [(1, text), (1, text), (2, text * 500), (None, text)]), model)
+    assert got.columns == ["doc_id", "score"] and len({r.score for r in got.collect() if r.doc_id != 2}) == 1 and got.count() == 4
+    assert toxicity.score(documents(spark, []), model).count() == 0
 
 
 def test_rare_and_minority_toxic_words():
