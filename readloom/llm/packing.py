@@ -26,16 +26,22 @@ CACHED_PIECES = 300_000
 #: Partition totals are broadcast up to so many partitions (16 bytes each).
 BROADCAST_PARTITIONS = 2_000_000
 
+#: Runs of so many characters are left to the tokenizers library, as tiktoken's regular expressions take stack by length.
+LONG_RUN = 4096
+
 _TWO_SPACES = regex.compile(r"\s\s")
+_LONG_SPACE = regex.compile(rf"\s{{{LONG_RUN}}}")
+_LONE_SPACE = regex.compile(r"(?<=\S)(?= \S)")
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str):
     """text -> its ids as little-endian 16-bit or 32-bit bytes, and their width.
 
-    path: a byte-level BPE tokenizer file of the tokenizers library. Its vocabulary is handed to tiktoken, which gives the
-    same ids several times as fast. Strings of special tokens in a text are ordinary text. Where no two white-space
-    characters meet, a space begins a piece of the pre-tokenizer's, so pieces between spaces are encoded apart and kept.
+    path: a byte-level BPE tokenizer file of the tokenizers library. The ids are that library's, with the file's added tokens
+    found in the text. The vocabulary is handed to tiktoken, which gives the same ids several times as fast; only what holds
+    a run of LONG_RUN characters is encoded by the library itself. Where no two white-space characters meet, a space begins a
+    piece of the pre-tokenizer's, so pieces between spaces are encoded apart and kept.
     """
     import json
 
@@ -43,16 +49,29 @@ def encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+    if any(t.get(k) for t in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens must be found in the text as they are")
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+    ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     bpe = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    width = np.dtype("<u2") if max(ranks.values()) < 1 << 16 else np.dtype("<u4")
+    width = np.dtype("<u2") if max([*ranks.values(), *added.values()]) < 1 << 16 else np.dtype("<u4")
+    longest: list = []
+
+    def slowly(text: str) -> bytes:
+        if not longest:
+            import tokenizers
+
+            longest.append(tokenizers.Tokenizer.from_file(path))
+        return np.array(longest[0].encode(text, add_special_tokens=False).ids, width).tobytes()
 
     def encode(text: str) -> bytes:
-        return np.array(bpe.encode_ordinary(text), width).tobytes()
+        if len(text) < LONG_RUN or not _LONG_SPACE.search(text) and max(map(len, text.split()), default=LONG_RUN) < LONG_RUN:
+            return np.array(bpe.encode_ordinary(text), width).tobytes()
+        parts = _LONE_SPACE.split(text)
+        return slowly(text) if len(parts) == 1 else b"".join(map(encode, parts))
 
     class Pieces(dict):
         def __missing__(self, piece: str) -> bytes:
@@ -63,13 +82,23 @@ def encoder(path: str):
 
     known = Pieces()
 
-    def fast(text: str) -> bytes:
+    def plain(text: str) -> bytes:
         if _TWO_SPACES.search(text):
             return encode(text)
         head, *rest = text.split(" ")
         return encode(head) + b"".join(map(known.__getitem__, [" " + x for x in rest]))
 
-    return fast, width
+    codes = {t: np.array([i], width).tobytes() for t, i in added.items() if t}
+    if not codes:
+        return plain, width
+    split = regex.compile("(" + "|".join(map(regex.escape, sorted(codes, key=len, reverse=True))) + ")").split
+
+    def whole(text: str) -> bytes:
+        if not any(t in text for t in codes):
+            return plain(text)
+        return b"".join(codes[x] if i % 2 else plain(x) for i, x in enumerate(split(text)))
+
+    return whole, width
 
 
 def _encode(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,8 +147,9 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, end_id: int =
     end_id), sequence_id, offset (the piece's place there) and tokens (little-endian unsigned 32-bit ids).
 
     Every sequence but the last is full, so only the last needs padding. A null text counts as empty: its one token is
-    end_id. A null doc_id stays null; repeated rows are packed each; other columns are left out, whatever their names. An
-    empty table gives no pieces. Texts longer than a sequence span several. The order is that of the table's partitions.
+    end_id. A null doc_id stays null; repeated rows are packed each, and there are no ties; other columns are left out,
+    whatever their names. An empty table gives no pieces. Texts longer than a sequence span several; runs of any length,
+    white space too, are encoded. The order is that of the table's partitions.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "part int, place long, doc_id long, doc_tokens long, ids binary"

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -52,7 +53,6 @@ def test_word_hashes_do_not_depend_on_blocks():
 def tokens():
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(Q.tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -75,6 +75,46 @@ def test_packing(spark, tokens):
         assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and (ends[-1] == 64 or seq == max(by_seq))
 
 
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> x <|endoftext", "\x1c" * 5000, " " * 3_000_000, "\n" * 3_000_000, "a" * 3_000_000, "x " + "\n" * 1_000_000 + "y  z" + " " * 5000 + "é", "one two " * 3 + "ab" * 3000 + " three\t\tfour", "é" * 5000 + "  <|endoftext|>" + "1" * 5000, "=" * 300_000 + "\u3000" * 5000 + "x"])
+def test_encoder_is_the_tokenizer(tokens, text):
+    encode, width = packing.encoder(Q.tokenizer_path())
+    assert np.frombuffer(encode(text), width).tolist() == tokens(text)[:-1]
+
+
+def test_encoder_with_long_runs(tokens):
+    """What the library encodes is cut where tiktoken's pieces begin."""
+    encode, width = packing.encoder(Q.tokenizer_path())
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.text(st.sampled_from(list("aé1 \n\t\u3000'.s\x1c\xa0\U0001f600")), max_size=60))
+    def check(text):
+        text = text + "b" * 5000 + text + " " * 5000 + text
+        assert np.frombuffer(encode(text), width).tolist() == tokens(text)[:-1]
+
+    check()
+
+
+def test_packing_query(spark, tokens, tmp_path):
+    """The query's pieces against the tokenizer as it is loaded, with long runs and strings of added tokens."""
+    texts = ["a<|endoftext|>b", "\n" * 1_200_000, " " * 700_000 + "x", None, "", "plain words " * 500, "<|endoftext|>", "plain words " * 500]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "tokens": ["clash"] * len(texts)}), f"{tmp_path}/documents.parquet")
+    parts = defaultdict(list)
+    by_seq = defaultdict(list)
+    for r in Q.op1_packing(spark, str(tmp_path)).collect():
+        parts[r.doc_id].append(r)
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    for i, text in enumerate(texts):
+        ids, at = tokens(text), 0
+        for r in sorted(parts[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *ids[at : at + r.length]))
+            at += r.length
+        assert at == len(ids)
+    for pieces in by_seq.values():
+        ends = np.cumsum([n for _, n in sorted(pieces)])
+        assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert sum(n for p in by_seq.values() for _, n in p) > 2047 * (len(by_seq) - 1)
+
+
 def test_sequences(spark):
     rows = [(i, "word " * i) for i in range(30)]
     pieces = packing.pack(documents(spark, rows), Q.tokenizer_path(), 32)
