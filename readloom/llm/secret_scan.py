@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,28 @@ def _from_unicode(run: str) -> str | None:
 #: How compressed contents begin, with HEAD_BYTES at most.
 _HEAD = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9][1\x17]|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 HEAD_BYTES = 6
+#: How compressed contents begin where their bytes are escaped, in URLs and in string literals.
+def _escaped_heads(before: str) -> str:
+    """The heads with each byte escaped, by before and two digits, or as it is if it is a visible character."""
+
+    def one(byte: int) -> str:
+        digits = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in f"{byte:02x}")
+        short = {8: r"|\\b", 0: r"|\\0"}.get(byte, "") if before != "%" else ""
+        return f"(?:{before}{digits}{short}{'|' + re.escape(chr(byte)) if 33 <= byte < 127 else ''})"
+
+    heads = [b"\x1f\x8b\x08", b"x\x01", b"x\x9c", b"x\xda", b"\xfd7zXZ\0", b"\x28\xb5\x2f\xfd"]
+    spell = lambda h: "".join(map(one, h))
+    return "|".join([*map(spell, heads), f"{spell(b'BZh')}(?:{before}3[1-9]|[1-9]){spell(b'1AY')}{'%26' if before == '%' else spell(b'&')}{spell(b'SY')}"])
+
+
+_ESCAPED_HEAD = re.compile(rf"(?P<url>{_escaped_heads('%')})|{_escaped_heads(r'\\(?:x|u00)')}".encode())
+_URL_RUN = re.compile(rb"(?:%[0-9A-Fa-f]{2}|[^%\s\"<>])*")
+_LITERAL_RUN = re.compile(rb"(?:\\(?:x[0-9A-Fa-f]{2}|u00[0-9A-Fa-f]{2}|[abfnrtv0/\\'\"])|[^\\\r\n])*")
+#: By the quote before a run: it goes on to the next one, or to white space or any quote if there is none.
+_LITERAL_RUNS = {q: re.compile(_LITERAL_RUN.pattern.replace(rb"\r\n]", stop + rb"\r\n]")) for q, stop in ((b'"', b'"'), (b"'", b"'"), (b"", rb"\s\"'"))}
+_LITERAL_ESCAPE = re.compile(rb"\\(?:(?:x|u00)([0-9A-Fa-f]{2})|(.))")
+_SHORT = dict(zip(b"abfnrtv0", b"\a\b\f\n\r\t\v\0"))
+_LONGEST_HEAD = 48  # bytes
 _UNPACK_ERRORS = (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError)
 _HEADS = (b"passw", b"secret", b"token", b"api")  # of keywords
 _MARKS = re.compile(rb"AKIA|%[0-9A-Fa-f]{2}|\\[uUx]|&#|" + _HEAD.pattern)
@@ -162,6 +185,21 @@ def _unpack(member, name: str, data: bytes, out) -> bytes | None:
             return None
 
 
+def _escaped_bytes(run: bytes, url: bool) -> bytes:
+    if url:
+        return unquote_to_bytes(run.replace(b"+", b" "))
+    return _LITERAL_ESCAPE.sub(lambda m: bytes.fromhex(m[1].decode()) if m[1] else bytes([_SHORT.get(m[2][0], m[2][0])]), run)
+
+
+def _escaped_packed(data: bytes, at: int = 0) -> Iterator[tuple[int, int, bool]]:
+    """start and end of the escaped runs that begin like compressed contents, and whether they are escaped as in URLs."""
+    while m := _ESCAPED_HEAD.search(data, at):
+        url = m["url"] is not None
+        before = data[max(0, m.start() - 1) : m.start()]
+        at = (_URL_RUN if url else _LITERAL_RUNS.get(before, _LITERAL_RUNS[b""])).match(data, m.start()).end()
+        yield m.start(), at, url
+
+
 class _Found:
     """trails: the layers through which each kind was found in a run; large: whether some contents are."""
 
@@ -178,6 +216,7 @@ class _Stream:
         self.closed = trail.count(">") > MAX_DEPTH
         self.new, self.rest, self.before = bytearray(), "", ""
         self.unsearched, self.packed = b"", None
+        self.unread, self.literal = b"", None
         self.escapes: dict[str, _Stream] = {}
         self.run: _Run | None = None
         found.large |= self.closed
@@ -192,6 +231,7 @@ class _Stream:
         self.found.large |= self.total > self.found.limit
         if not self.trail.endswith(("url", "unicode")):  # those are texts; compressed bytes only look like escapes
             self._search(data)
+        self._search_escaped(data)
         self.new += data
         if len(self.new) + len(self.rest) >= PIECE:
             self._pass(last=False)
@@ -200,6 +240,7 @@ class _Stream:
         if not self.closed:
             if self.packed:
                 self._search(b"", last=True)
+            self._search_escaped(b"", last=True)
             self._pass(last=True)
             for x in [*self.escapes.values(), *(self.packed or [])[2:]]:
                 x.close()
@@ -248,6 +289,38 @@ class _Stream:
             inner.close()
             self.packed = None
 
+    def unpack(self, data: bytes, last: bool) -> None:
+        """Searches data for compressed contents alone."""
+        if self.closed:
+            return
+        for at in range(0, len(data), STEP):
+            self._search(data[at : at + STEP])
+        if last and self.packed:
+            self._search(b"", last=True)
+        if last and self.packed:
+            self.packed[2].close()
+
+    def _search_escaped(self, data: bytes, last: bool = False) -> None:
+        """Unpacks compressed contents whose bytes are escaped."""
+        data, at = self.unread + data, 0
+        while True:
+            if self.literal is None:
+                m = _ESCAPED_HEAD.search(data, at)
+                if m is None:
+                    self.unread = data[max(at, len(data) - _LONGEST_HEAD) :]
+                    return
+                at, url = m.start(), m["url"] is not None
+                self.literal = url, self.inner("url" if url else "unicode")
+            url, inner = self.literal
+            end = (_URL_RUN if url else _LITERAL_RUN).match(data, at).end()
+            over = last or len(data) - end >= 12  # else an escape may have begun
+            inner.unpack(_escaped_bytes(data[at:end], url), over)
+            at = end
+            if not over:
+                self.unread = data[end:]
+                return
+            self.literal = None
+
     def _end(self, text: str) -> int:
         """How much of text can be passed on, the rest being kept until more is known."""
         least = len(text) // 2
@@ -392,6 +465,15 @@ def scan_text(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[int,
                 found.setdefault((kind, *span), trail[1:])
             if inside.large:
                 large.add(span)
+        if "%" in layer.text or "\\" in layer.text:
+            data = layer.text.encode("latin-1", "replace")  # a byte for each character
+            for a, b, url in _escaped_packed(data):
+                inside, span = _Found(limit), layer.span(a, b)
+                _Stream(f"{layer.trail}>{'url' if url else 'unicode'}", inside).unpack(_escaped_bytes(data[a:b], url), True)
+                for kind, trail in inside.trails.items():
+                    found.setdefault((kind, *span), trail[1:])
+                if inside.large:
+                    large.add(span)
         for x in _inner(layer):
             if x.text not in seen:  # else the layers would go round
                 seen.add(x.text)
@@ -401,19 +483,19 @@ def scan_text(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[int,
 
 def _suspects(rows: pa.Table) -> np.ndarray:
     """Which texts can hold anything: a keyword, an access key's head, an escape, or a long run of base64 or hex letters."""
-    column = rows.column("text")
-    w = words_of(column)
+    w = words_of(rows.column("text"))
+    between = w.offsets[1:-1]
+    buf = np.insert(w.buf, between, 10)  # no run, keyword or escape goes on from one text to the next
+    begin = w.offsets[:-1] + np.arange(rows.num_rows)
     ok = np.zeros(256, np.int8)
-    ok[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = 1
-    flat = np.concatenate([[0], ok[w.buf], [0]])
-    edges = np.flatnonzero(np.diff(flat))
+    ok[[*_LETTERS.encode()]] = 1
+    edges = np.flatnonzero(np.diff(ok[buf], prepend=0, append=0))
     starts, ends = edges[::2], edges[1::2]
-    long = starts[ends - starts >= 16]
-    out = np.zeros(rows.num_rows, bool)
-    out[np.searchsorted(w.offsets, long, "right") - 1] = True
-    data = w.buf.tobytes()
+    data = buf.tobytes()
     at = [m.start() for m in _KEYWORDS.finditer(data.lower())] + [m.start() for m in _ENCODED.finditer(data)]
-    out[np.searchsorted(w.offsets, np.array(at, np.int64), "right") - 1] = True
+    out = np.zeros(rows.num_rows, bool)
+    for found in (starts[ends - starts >= 16], np.array(at, np.int64)):
+        out[np.searchsorted(begin, found, "right") - 1] = True
     return out
 
 

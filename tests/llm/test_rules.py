@@ -4,9 +4,12 @@ import base64
 import bz2
 import gzip
 import hashlib
+import json
 import lzma
+import random
 import re
 import urllib.parse
+import zlib
 from collections import defaultdict
 
 import pytest
@@ -188,6 +191,28 @@ def test_secret_members_and_alignments():
             assert any(k == 1 for k, *_ in S.scan_text(f"{before}{code}")[1]), before
 
 
+def escaped(data):
+    yield "url", urllib.parse.quote(data)
+    yield "url+", urllib.parse.quote_plus(data)
+    yield "url all", "".join(f"%{c:02x}" for c in data)
+    yield "bytes", repr(data)
+    yield "hex", "".join(f"\\x{c:02x}" for c in data)
+    yield "json", json.dumps(data.decode("latin-1"))
+
+
+@pytest.mark.parametrize("step", [1 << 16, 50])
+def test_secret_escaped_contents(monkeypatch, step):
+    """Compressed contents whose bytes are escaped, in the text and inside others."""
+    monkeypatch.setattr(S, "STEP", step)
+    filler = "".join(chr(33 + i * i % 90) for i in range(200))
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        for name, code in escaped(pack(f"{filler} {KEY} {filler}".encode())):
+            found = S.scan_text(f"see {code} end")[1]
+            assert any(k == 1 and 4 <= a < b <= 5 + len(code) for k, a, b in found), (pack, name)
+            assert any(k == 1 for k, *_ in S.scan_text(f"see {b64(gzip.compress(f'a {code} b'.encode()))} end")[1]), (pack, name)
+    assert not S.scan_text(repr(gzip.compress(filler.encode())))[1] and not S.scan_text("x%9Cabc BZh91AY%26SY %1f%8b%08 end")[1]
+
+
 def test_secret_not_quite_utf8():
     raw = b"caf\xe9 \0\1\2 password=hunter22"
     for code in (b64(raw), b64(gzip.compress(raw)), "".join(f"%{c:02X}" for c in raw), r"\ud800" + "".join(f"\\u{c:04x}" for c in raw)):
@@ -211,6 +236,33 @@ def test_secret_base(text):
     assert set(base) == expected and expected <= set(found)
 
 
+def test_scan_finds_what_single_texts_hold(spark):
+    """Neighbouring rows don't matter: texts begin and end in letters, and every order gives the spans of each text alone."""
+    rng = random.Random(4)
+    texts = [f"{KEY} is the key", "a plain text ends here", "0123456789abcdef" * 2, "abc", "deadbeef", "", "password=hunter22", "pass", "word=hunter22", "%41%4b", "Zm9v" * 5, "a%", "41b", None, "é", f"x{KEY}"]
+    expected = {t: sorted(S.scan_text(t or "")[1]) for t in texts}
+    for _ in range(6):
+        rng.shuffle(texts)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: sorted((S.KINDS.index(x.kind), x.start, x.end) for x in r.spans) for r in S.scan(docs).collect()}
+        assert got == {i: expected[t] for i, t in enumerate(texts)}
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(DATA), reason="no test data")
+def test_secret_query(spark):
+    data = DATA.replace("0.001", "0.01")  # the smallest table has no secrets
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = Q.op4_secrets(spark, data).collect()
+    assert len(got) == len(texts) and sum(r.n_access + r.n_assign for r in got) > 0
+    join = lambda spans: ",".join(f"{S.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+    for r in got:
+        base, found, n = S.scan_text(texts[r.doc_id])
+        counts = [sum(k == i for k, *_ in base) for i in range(3)]
+        assert [r.n_assign, r.n_access, r.n_hex, r.n_large] == [*counts, n]
+        assert r.base_sha256 == hashlib.sha256(join(base).encode()).hexdigest()
+        assert r.spans == join(sorted(found, key=lambda x: (x[1], x[0], x[2])))
+
+
 def test_scan_and_redact(spark):
     rows = [(1, f"key {KEY}!", 3), (2, None, 4), (3, "", 5), (4, "plain", 6), (4, "plain", 6), (None, "passwd: hunter22", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
