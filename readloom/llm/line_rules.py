@@ -33,7 +33,7 @@ def _table(chars: str) -> np.ndarray:
 
 _SYMBOL, _BAR, _MARK = _table("#*$%&|<>"), _table("|"), _table("!")
 _UPPER, _DIGIT = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _table("0123456789")
-_LETTER = (np.ones(256, np.int32) - _table("\x00")) * ((np.arange(256) < 0x80) | (np.arange(256) >= 0xC0))  # first bytes of characters
+_LETTER = ((np.arange(256) < 0x80) | (np.arange(256) >= 0xC0)).astype(np.int32)  # first bytes of characters
 _STOP = _table(".!?:;")
 
 

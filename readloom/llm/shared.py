@@ -12,12 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); set to a local one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a local one is set in local mode,
+    and elsewhere an error is raised, as executors would not see each other's files."""
     ctx = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or ctx.getConf().get("spark.checkpoint.dir")
     set_already = ctx._jsc.sc().getCheckpointDir()
+    if not at and set_already.isDefined():
+        at = set_already.get()
     if not at:
-        at = set_already.get() if set_already.isDefined() else tempfile.mkdtemp(prefix="readloom-")
+        if not ctx.master.startswith("local") or ctx.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="readloom-")
     if not set_already.isDefined():
         ctx.setCheckpointDir(at)
     return at.rstrip("/")

@@ -1,5 +1,6 @@
 """Toxicity, quality resampling, line rules: held-out accuracy on made-up labels, and exact base figures."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -10,8 +11,9 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from readloom.llm import labelled, line_rules, quality, toxicity
+from readloom.llm import labelled, line_rules, quality, queries as Q, toxicity
 
+DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, score string, key int"
 ODD = [(900, None), (901, ""), (902, " \n "), (903, "x" * 50_000), (904, "é\U0001f600 ñ")]
@@ -191,7 +193,7 @@ def base_figures(t):
 
 def test_base_figures():
     rng = random.Random(7)
-    texts = ["", "\n\n", "a", "a\na\n a\na", "x y z x y z\nx y z", "é# ñ|\r\né# ñ|", "q\n"] + ["".join(rng.choice(["a ", "b\n", "c", "#", "\n", "é ", "\x0b"]) for _ in range(60)) for _ in range(200)]
+    texts = ["", "\n\n", "a", "a\0b c", "\0", "a\na\n a\na", "x y z x y z\nx y z", "é# ñ|\r\né# ñ|", "q\n"] + ["".join(rng.choice(["a ", "b\n", "c", "#", "\n", "é ", "\x0b"]) for _ in range(60)) for _ in range(200)]
     got = line_rules.lines_of(pa.chunked_array([pa.array(texts)])).base
     assert list(zip(*(got[k].tolist() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))) == [base_figures(t) for t in texts]
 
@@ -244,8 +246,59 @@ def test_line_rules(spark):
     assert line_rules.judge(documents(spark, []), line_rules.train([])).count() == 0
 
 
+def plain_features(t):
+    """Each line with a word: its words and features, by their definitions."""
+    counts, out, seen = Counter(), [], set()
+    w = WORD.findall(t)
+    counts.update(zip(w, w[1:], w[2:]))
+    again = [any(0 <= i and counts[tuple(w[i : i + 3])] > 1 for i in (k - 2, k - 1, k) if i + 3 <= len(w)) for k in range(len(w))]
+    at = 0
+    for line in t.split("\n"):
+        words = WORD.findall(line)
+        if words:
+            size, n = len(line.encode()), len(words)
+            share = lambda chars, k: min(1, k * sum(c in chars for c in line) / size)  # noqa: B023, E731
+            upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+            x = [1, share("#*$%&|<>", 4), share(upper, 2), share("|", 8), share("!", 8), share(digits, 2), sum(again[at : at + n]) / n, 1 - len(set(words)) / n, line in seen, line[-1] not in ".!?:;"]
+            out.append((n, np.array(x, float)))
+        seen.add(line)
+        at += len(words)
+    return out
+
+
+def plain_share(field, t):
+    """The share of words in lines that the best of all label sequences, by plain Viterbi, has as content."""
+    lines = plain_features(t)
+    if not lines:
+        return 1.0
+    best = [(list(lines[0][1] @ field.emission)[k], [k]) for k in (0, 1)]
+    for _, x in lines[1:]:
+        s = x @ field.emission
+        best = [max(((best[p][0] + field.transition[p, k] + s[k], [*best[p][1], k]) for p in (0, 1)), key=lambda b: b[0]) for k in (0, 1)]
+    labels = max(best, key=lambda b: b[0])[1]
+    return sum(n for (n, _), y in zip(lines, labels) if y) / sum(n for n, _ in lines)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_line_rules_query(spark):
+    """All columns of the query on its whole table: base figures by their definitions, verdicts by plain Viterbi."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    field = line_rules.train(labelled.labelled_sample(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"), "quality"))
+    got = Q.op9_line_rules(spark, DATA).collect()
+    assert {r.doc_id for r in got} == set(texts) and len(got) == len(texts)
+    for r in got:
+        figures = base_figures(texts[r.doc_id])
+        failed = figures[0] < 50 or 100 * figures[4] > 50 * figures[0]
+        share = plain_share(field, texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (*figures, failed)
+        assert abs(r.content_share - share) < 1e-9 and r.kept == (not failed and share >= field.least)
+
+
 def test_labelled_sample(spark):
     docs = documents(spark, [(i, f"text {i % 50}") for i in range(100)] + ODD)
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(900, 1), (901, 1), (903, 1), (None, 1), (5, None)], "doc_id long, toxic int")
     got = labelled.labelled_sample(docs, labels, "toxic", per_class=20, where=F.col("doc_id") < 90)
     assert 0 < len(got) <= 40 and all(int(t.split()[1]) % 2 == y for t, y in got) and len({t for t, _ in got}) == len(got)
+    repeated = documents(spark, [(1, f"copy {k}") for k in range(500)] + [(2, "b")])
+    got = labelled.labelled_sample(repeated, spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, toxic int"), "toxic")
+    assert sorted(got) == [("b", 0), ("copy 0", 1)]
