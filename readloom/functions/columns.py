@@ -56,8 +56,8 @@ def trimmed(text: Column | str, tail: int) -> Column:
 
 
 def quality_sum(qual: Column | str) -> Column:
-    """The sum of the bytes; subtract PHRED_OFFSET per base for Phred values. It counts each byte value that is allowed,
-    which stays within generated code."""
+    """The sum of the bytes; subtract PHRED_OFFSET per base for Phred values. It goes over the letters one by one; for
+    statistics of many reads, see readloom.functions.quality."""
     c = _col(qual)
     return F.aggregate(F.transform(F.split(c, ""), F.ascii), F.lit(0).cast("long"), lambda s, x: s + x)
 
@@ -78,9 +78,6 @@ def read_violation(header: Column | str, seq: Column | str, qual: Column | str)
 
 # --- headers: @<flowcell>L<lane 1>C<column 3>R<row 3><tile digits>/<mate>, by the last L ---
 
-_HEADER = r"^@(.*)L(.)C?(.{3})R?(.{3})(\d*)/(.)$"
-
-
 def flowcell_of(header: Column | str) -> Column:
     return F.regexp_extract(_col(header), r"^@(.*)L(.)[^L]*$", 1)
 
@@ -134,11 +131,11 @@ def split_header(header: Column | str, umi: Column | None = None) -> Column:
     return F.concat(F.substring(h, F.lit(1), at - 1), tag, F.substring(h, at, F.length(h)))
 
 
-def raw_header(header: Column | str, umi: Column | None, barcode: str | None) -> Column:
+def raw_header(header: Column | str, umi: Column | None, barcode: Column | str | None) -> Column:
     """A raw read's header: /m goes; ' m:N:0:barcode' comes if a barcode is given."""
     h = _col(header)
     tag = F.lit("") if umi is None else F.when(umi != "", F.concat(F.lit(":"), umi)).otherwise("")
-    tail = F.concat(F.lit(" "), F.right(h, F.lit(1)), F.lit(f":N:0:{barcode}")) if barcode else F.lit("")
+    tail = F.concat(F.lit(" "), F.right(h, F.lit(1)), F.lit(":N:0:"), F.lit(barcode) if isinstance(barcode, str) else barcode) if barcode is not None else F.lit("")
     return F.concat(F.regexp_replace(h, r"/.$", ""), tag, tail)
 
 

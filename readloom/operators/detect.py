@@ -33,12 +33,18 @@ def index_table(samples: list[Sample]) -> list[tuple]:
 
 def layout_counts(reads: DataFrame, indexes: DataFrame, barcode_length: int) -> DataFrame:
     """reads: seq. indexes: row_ix, i7, i5 (null for one index), rc7, rc5; a sheet's size, times four. Returns row_ix, layout
-    (places7[:place5]_rc7:rc5) and n. Two indexes count only where they don't overlap."""
+    (places7[:place5]_rc7:rc5) and n. Two indexes count only where they don't overlap. The first index is found by an
+    equi-join of the barcode's slices, of the lengths that the indexes have; only its hits are searched for the second."""
     barcodes = reads.filter(F.length("seq") >= barcode_length).select(barcode_slice("seq", barcode_length).alias("bc"))
-    present = F.contains("bc", "i7") & (F.col("i5").isNull() | F.contains("bc", "i5"))
-    both = barcodes.join(F.broadcast(indexes), present)
-    at = both.withColumn("p7", F.explode(occurrences(F.col("bc"), F.col("i7"))))
-    at = at.withColumn("p5", F.explode(F.when(F.col("i5").isNull(), F.array(F.lit(-1))).otherwise(occurrences(F.col("bc"), F.col("i5")))))
+    lengths = sorted(r[0] for r in indexes.select(F.length("i7")).distinct().collect() if r[0] <= barcode_length)
+    if not lengths:
+        lengths = [barcode_length]
+    places = [F.struct(F.lit(p).alias("p7"), F.lit(n).alias("n7")) for n in lengths for p in range(barcode_length - n + 1)]
+    sliced = barcodes.select("bc", F.inline(F.array(*places))).withColumn("slice", F.substring("bc", F.col("p7") + 1, F.col("n7")))
+    at = sliced.join(F.broadcast(indexes), F.col("slice") == F.col("i7")).filter(F.col("i5").isNull() | F.contains("bc", "i5"))
+    found = F.array_contains(occurrences(F.col("bc"), F.col("i7")), F.col("p7"))  # in the generator, so it is evaluated for hits only
+    places = F.when(F.col("i5").isNull(), F.array(F.lit(-1))).otherwise(occurrences(F.col("bc"), F.col("i5")))
+    at = at.withColumn("p5", F.explode(F.when(found, places).otherwise(F.array().cast("array<int>"))))
     apart = (F.col("p5") < 0) | (F.col("p5") >= F.col("p7") + F.length("i7")) | (F.col("p7") >= F.col("p5") + F.length("i5"))
     dual = F.concat(F.col("p7"), F.lit(":"), F.col("p5"), F.lit("_"), F.col("rc7"), F.lit(":"), F.col("rc5"))
     layout = F.when(F.col("p5") < 0, F.concat(F.col("p7"), F.lit("_"), F.col("rc7"), F.lit(":."))).otherwise(dual)

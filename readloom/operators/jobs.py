@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import os
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -12,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from readloom.functions import columns as C
 from readloom.operators import detect, match, reformat as reformatting, stats
-from readloom.plans.sheet import AMBIGUOUS, MISSING, UNDETERMINED, Sheet, build_sheet, load_sheet, parse_sheet
-from readloom.sources import runinfo, writers
+from readloom.plans.sheet import AMBIGUOUS, MISSING, UNDETERMINED, Sheet, build_sheet, load_sheet
+from readloom.sources import runinfo, store, writers
 from readloom.sources.fastq import read_fastq, read_pairs
 
 
@@ -46,24 +45,41 @@ def default_output() -> str:
     return f"readloom_{datetime.now():%Y%m%dT%H%M%S}"
 
 
-def validated(reads: DataFrame, mgi: bool = True, paired: bool = False) -> DataFrame:
-    """Reads that raise an error where their content, or their mates' headers, are not right."""
+def problem_of(mgi: bool = True, paired: bool = False) -> F.Column:
+    """What is wrong with a read's or its mate's content, or with their headers; null if nothing is."""
     sides = [("", C.read_violation("header", "seq", "qual"))] + ([("mate ", C.read_violation("r1_header", "r1_seq", "r1_qual"))] if paired else [])
     problem = F.coalesce(*[F.concat(F.lit(n), v) for n, v in sides])
     if paired and mgi:
         same = C.trimmed("header", 1) == C.trimmed("r1_header", 1)
         problem = F.coalesce(problem, F.when(~same, F.lit("mates have different headers")))
+    return problem
+
+
+def validated(reads: DataFrame, mgi: bool = True, paired: bool = False) -> DataFrame:
+    """Reads that raise an error where their content, or their mates' headers, are not right."""
+    problem = problem_of(mgi, paired)
     return reads.withColumn("header", F.when(problem.isNull(), F.col("header")).otherwise(F.raise_error(F.concat(F.lit("read is not valid: "), problem)).cast("string")))
 
 
+def file_names(sheet: Sheet, o: Options, mate: int) -> dict[int, str]:
+    """The file of each row of the sheet's frame."""
+    n, numbers = len(sheet.samples), sheet.sample_numbers()
+    labels = {**{s.row: s.sample_id for s in sheet.samples}, n: o.undetermined_label, n + 1: o.ambiguous_label}
+    return {r: writers.illumina_file(x, numbers.get(x) if r < n else None, o.info.lane, mate) if o.illumina else writers.mgi_file(x, o.info.lane, mate) for r, x in labels.items()}
+
+
+def report_names(sheet: Sheet, o: Options) -> list[str]:
+    stem = f"{o.info.flowcell}.{o.info.lane}.readloom"
+    prefixes = ["" if p == MISSING else f"{p}_" for p in sheet.projects()]
+    kinds = ["sample_stats"] + [f"{w}_barcode{x}" for w in ("undetermined", "ambiguous") for x in ("", ".complete")]
+    return [f"{p}{stem}.{k}" for p in prefixes for k in ("info", "general")] + [f"{stem}.{k}" for k in kinds]
+
+
 def output_records(assigned: DataFrame, sheet: Sheet, o: Options, paired: bool) -> DataFrame:
     """out_file, read_id, header, seq, qual of all files. Unassigned reads stay as they were; samples whose barcode reads
     hold the barcode only have no second file."""
-    n, length, lane = len(sheet.samples), sheet.barcode_length, o.info.lane
-    numbers = sheet.sample_numbers()
-    labels = {**{s.row: s.sample_id for s in sheet.samples}, n: o.undetermined_label, n + 1: o.ambiguous_label}
-    name = lambda row, mate: writers.illumina_file(labels[row], numbers.get(labels[row]) if row < n else None, lane, mate) if o.illumina else writers.mgi_file(labels[row], lane, mate)
-    named = lambda mate: F.create_map(*[x for row in labels for x in (F.lit(row), F.lit(name(row, mate)))])[F.col("row_ix")]
+    n, length = len(sheet.samples), sheet.barcode_length
+    named = lambda mate: F.create_map(*[x for row, name in file_names(sheet, o, mate).items() for x in (F.lit(row), F.lit(name))])[F.col("row_ix")]
     real = F.col("row_ix") < n
     tail = 0 if o.keep_barcode else length
 
@@ -105,18 +121,19 @@ def write_reports(assigned: DataFrame, sheet: Sheet, folder: str, o: Options, ma
         out.append(writers.write_text(folder, f"{stem}.sample_stats", writers.tsv(stats.sample_statistics(rows, most))))
     if o.report_level > 1:
         for which in ("undetermined", "ambiguous"):
-            for suffix, limit in (("", o.report_limit), (".complete", 0)):
-                counts = stats.barcode_counts(assigned, sheet, which, limit)
-                text = writers.tsv(counts, header=False)
-                if text:
-                    out.append(writers.write_text(folder, f"{stem}.{which}_barcode{suffix}", text))
+            counts = stats.barcode_counts(assigned, sheet, which).persist(StorageLevel.DISK_ONLY)  # for both files
+            text = writers.tsv(counts.limit(o.report_limit), header=False)
+            if text:
+                out.append(writers.write_text(folder, f"{stem}.{which}_barcode", text))
+                out.append(writers.write_lines(counts, folder, f"{stem}.{which}_barcode.complete"))
+            counts.unpersist()
     measured.unpersist()
     return out
 
 
 def demultiplex(spark: SparkSession, sheet_path: str, read1: str = "", read2: str = "", folder: str = "", output: str | None = None, reports: str | None = None, o: Options | None = None, info_file: str | None = None) -> DataFrame:
     """Assigns the reads of one lane, writes files and reports, and returns the assigned reads. One scan of the input feeds
-    the files and the statistics (it is kept on disk meanwhile)."""
+    the files and the statistics; it is kept on disk, until the caller unpersists what is returned."""
     o = o or Options()
     if folder:
         read1, read2 = runinfo.find_reads(folder)
@@ -124,8 +141,7 @@ def demultiplex(spark: SparkSession, sheet_path: str, read1: str = "", read2: st
     sheet = build_sheet(load_sheet(spark, sheet_path), o.template, o.i7_rc, o.i5_rc)
     info = runinfo.find_info_file(info_file, barcode_path)
     if info:
-        with open(info, encoding="utf-8") as f:
-            instrument, run = runinfo.parse_info(f)
+        instrument, run = runinfo.parse_info(store.read_text(info).splitlines())
         o.info.instrument, o.info.run = o.info.instrument or instrument, o.info.run or run
     if o.mgi:
         first = read_fastq(spark, barcode_path, 1).first()
@@ -142,7 +158,9 @@ def demultiplex(spark: SparkSession, sheet_path: str, read1: str = "", read2: st
         raise ValueError("most reads match no sample; check the template, or ignore undetermined reads")
     output = writers.prepare_folder(output or default_output(), o.force)
     reports = reports or output
-    os.makedirs(reports, exist_ok=True)
+    store.make_folder(reports)
+    writers.clean_outputs(output, [x for mate in (1, 2) for x in file_names(sheet, o, mate).values()])
+    writers.clean_outputs(reports, report_names(sheet, o))
     records = output_records(assigned, sheet, o, bool(mate_path))
     writers.write_fastq(records, output, ["read_id"], level=o.compression_level)
     write_reports(assigned, sheet, reports, o, "r1_qual" if mate_path else None)
@@ -154,15 +172,15 @@ def detect_template(spark: SparkSession, sheet_path: str, read1: str = "", read2
     if folder:
         read1, read2 = runinfo.find_reads(folder)
     barcode_path, mate_path = runinfo.roles(read1, read2)
-    with open(sheet_path, encoding="utf-8") as f:
-        samples = parse_sheet(f)
-    reads = read_fastq(spark, barcode_path, testing_reads)
+    samples = load_sheet(spark, sheet_path)
+    reads = read_fastq(spark, barcode_path, testing_reads).select("seq").persist()  # so many reads are few
     own = len(reads.first().seq)
     mate = len(read_fastq(spark, mate_path, 1).first().seq) if mate_path else own
     length = detect.barcode_length_of(barcode_length, own, mate, samples, max_umi)
     sheet_rows, details = detect.detected_sheet(reads, samples, length, popular, umi)
+    reads.unpersist()
     lines = lambda head, rows: "\t".join(head) + "\n" + "".join("\t".join(map(str, r)) + "\n" for r in rows)
-    folder_, stem = os.path.split(os.path.abspath(prefix))
+    folder_, stem = os.path.split(prefix if "://" in prefix else os.path.abspath(prefix))
     return (
         writers.write_text(folder_, f"{stem}_template.tsv", lines(("sample_id", "i7", "i5", "job_number", "template", "i7_rc", "i5_rc"), sheet_rows)),
         writers.write_text(folder_, f"{stem}_details.tsv", lines(("sample_id", "i7", "i5", "all-matches"), details)),
@@ -184,7 +202,7 @@ def merge_reports(spark: SparkSession, paths: list[str], output: str, lane: str
     ordered = merged.withColumn("role", role).orderBy(last, "sample_id", "job_number").collect()  # as many rows as samples
     rows = spark.createDataFrame([(i, *r) for i, r in enumerate(ordered)], "row_ix int, " + ", ".join(f"`{c}` {'string' if c in ('job_number', 'sample_id', 'role') else 'long'}" for c in [*merged.columns, "role"]))
     stem = f"{prefix or os.path.basename(paths[0]).split('.')[0]}.{lane}.readloom"
-    os.makedirs(output, exist_ok=True)
+    store.make_folder(output)
     writers.write_text(output, f"{stem}.info", writers.tsv(stats.info_report(rows, most)))
     writers.write_text(output, f"{stem}.general", writers.general_text(stats.general_lane(rows, f"{stem.split('.')[0]}-{lane}"), stats.general_samples(rows)))
     writers.write_text(output, f"{stem}.sample_stats", writers.tsv(stats.sample_statistics(rows, most)))
@@ -202,13 +220,13 @@ def reformat(spark: SparkSession, read1: str, read2: str = "", output: str | Non
     reads = read_pairs(spark, own, mate) if mate else read_fastq(spark, own)
     if validate:
         reads = validated(reads, False, bool(mate))
-    done = reformatting.reformat_reads(reads, umi_length, barcode).persist(StorageLevel.DISK_ONLY)
+    done = reformatting.reformat_reads(reads, umi_length, barcode or None).persist(StorageLevel.DISK_ONLY)
     output = writers.prepare_folder(output or default_output(), force)
     if illumina:
         name = lambda m: writers.illumina_file(sample_label, sample_index, lane, m)
         records = done.select(F.lit(name(2 if mate else 1)).alias("out_file"), "read_id", F.col("new_header").alias("header"), F.col("new_seq").alias("seq"), F.col("new_qual").alias("qual"))
         if mate:
-            header = F.when(F.instr("r1_header", " ") > 0, C.split_header("r1_header", F.col("umi"))).otherwise(C.raw_header("r1_header", F.col("umi"), barcode))
+            header = F.when(F.instr("r1_header", " ") > 0, C.split_header("r1_header", F.col("umi"))).otherwise(C.raw_header("r1_header", F.col("umi"), F.lit(barcode) if barcode else None))
             records = records.unionAll(done.select(F.lit(name(1)).alias("out_file"), "read_id", header.alias("header"), F.col("r1_seq").alias("seq"), F.col("r1_qual").alias("qual")))
         writers.write_fastq(records, output, ["read_id"], level=level)
     if report_level > 0:
@@ -219,10 +237,6 @@ def reformat(spark: SparkSession, read1: str, read2: str = "", output: str | Non
         values = row.first()
         seen = [k for k in range(most + 1) if values[f"{k}-mismatches"]]
         kept = [c for c in row.columns if not c.endswith("-mismatches") or int(c.split("-")[0]) <= max(seen, default=0)]
-        os.makedirs(reports or output, exist_ok=True)
+        store.make_folder(reports or output)
         writers.write_text(reports or output, f"{sample_label}.readloom.sample_stats", writers.tsv(row.select(*[F.col(f"`{c}`") for c in kept])))
     return done
-
-
-def lane_inputs(pattern: str) -> list[str]:
-    return sorted(glob.glob(pattern))

@@ -16,15 +16,16 @@ def header_barcode(header: Column | str) -> Column:
     return F.substring_index(F.col(header) if isinstance(header, str) else header, ":", -1)
 
 
-def reformat_reads(reads: DataFrame, umi_length: int = 0, barcode: str | None = None) -> DataFrame:
-    """reads: header, seq, qual. Adds umi (the read's last bases), mm (to the given barcode, at most MOST_MISMATCHES; 0
-    without one or for raw headers), new_header, new_seq and new_qual (without the UMI)."""
+def reformat_reads(reads: DataFrame, umi_length: int = 0, barcode: str | Column | None = None) -> DataFrame:
+    """reads: header, seq, qual. Adds umi (the read's last bases), mm (to the given barcode, one for all or a column, at most
+    MOST_MISMATCHES; 0 without one or for raw headers), new_header, new_seq and new_qual (without the UMI)."""
     umi = F.right(F.col("seq"), F.lit(umi_length)) if umi_length else F.lit("")
     split = F.instr("header", " ") > 0
     seen = header_barcode("header")
-    far = F.when(F.length(seen) == len(barcode), F.least(hamming(seen, F.lit(barcode)), F.lit(MOST_MISMATCHES))).otherwise(MOST_MISMATCHES) if barcode else F.lit(0)
+    own = F.lit(barcode) if isinstance(barcode, str) else barcode
+    far = F.when(F.length(seen) == F.length(own), F.least(hamming(seen, own), F.lit(MOST_MISMATCHES))).otherwise(MOST_MISMATCHES) if own is not None else F.lit(0)
     return reads.withColumns({
-        "umi": umi, "mm": F.when(split, far).otherwise(0), "new_header": F.when(split, split_header("header", umi)).otherwise(raw_header("header", umi, barcode)),
+        "umi": umi, "mm": F.when(split, far).otherwise(0), "new_header": F.when(split, split_header("header", umi)).otherwise(raw_header("header", umi, own)),
         "new_seq": trimmed("seq", umi_length), "new_qual": trimmed("qual", umi_length),
     })
 

@@ -6,15 +6,18 @@ volume, `lineitem`) the reads. A read's barcode is that of sample id % 25 with u
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from readloom.functions import columns as C
-from readloom.operators import detect, match, neighbors, reformat, stats
-from readloom.plans.sheet import MISSING, Sample, Sheet, build_sheet
+from readloom.operators import detect, jobs, match, neighbors, reformat, stats
+from readloom.plans.session import local_frame
+from readloom.plans.sheet import MISSING, Sample, Sheet, SheetError, build_sheet, parse_sheet
 from readloom.plans.template import parse_template, render_template
+from readloom.sources import fastq, runinfo, store, writers
+from readloom.streaming import lanes
 
 PREFIX = C.illumina_prefix("instrument_1", "20231212", "FC01")
 
@@ -340,8 +343,9 @@ def merge_lane_reports(spark, sf_dir):
 
 @_query(f"with sheet as ({SHEET}), twice as (select row_ix, substr(sample_id, 1, 1) as sample_id from sheet) select row_ix, sample_id, cast(min(row_ix) over (partition by sample_id) as int) as canonical_row from twice")
 def duplicate_sample_rows(spark, sf_dir):
-    twice = sheet_rows(spark, sf_dir).select("row_ix", F.substring("sample_id", 1, 1).alias("sample_id"))
-    return twice.withColumn("canonical_row", F.min("row_ix").over(Window.partitionBy("sample_id")))
+    s = Sheet([Sample(r.row_ix, r.sample_id[0], r.i7) for r in sorted(sheet_rows(spark, sf_dir).collect())], [])
+    first = s.canonical_rows()
+    return local_frame(spark, [(x.row, x.sample_id, first[x.row]) for x in s.samples], "row_ix int, sample_id string, canonical_row int")
 
 
 @_query(f"with sheet as ({SHEET}), first as (select row_ix, substr(sample_id, 1, 1) as sample_id, min(row_ix) over (partition by substr(sample_id, 1, 1)) as f from sheet) select row_ix, sample_id, cast(dense_rank() over (order by f) as int) as number from first")
@@ -400,40 +404,44 @@ def template_render(spark, sf_dir):
 
 # --- reformatting and sources ---
 
-_SPLIT = f"with {matches_sql(DUAL, 1)}, split as (select read_id, {_ILLUMINA} || ' 2:N:0:' || barcode as header, seq, qual from reads join assigned using (read_id) where row_ix = 3)"
+_SPLIT = f"with {matches_sql(DUAL, 1)}, split as (select read_id, {_ILLUMINA} || ' 2:N:0:' || barcode as header, seq, qual, i7 || '+' || i5 as expected from reads join assigned using (read_id) join sheet using (row_ix))"
 
 
-@_query(f"{_SPLIT}, sheet3 as (select i7 || '+' || i5 as expected from sheet where row_ix = 3) select read_id, split_part(header, ' ', 1) || ':' || right(seq, 8) || ' ' || split_part(header, ' ', 2) as new_header, substr(seq, 1, 52) as new_seq, cast(least(hamming(split_part(header, ':', 10), expected), 4) as int) as mm from split, sheet3")
+@_query(f"{_SPLIT} select read_id, split_part(header, ' ', 1) || ':' || right(seq, 8) || ' ' || split_part(header, ' ', 2) as new_header, substr(seq, 1, 52) as new_seq, cast(least(hamming(split_part(header, ':', 10), expected), 4) as int) as mm from split")
 def reformat_mismatch(spark, sf_dir):
-    s = sheet(spark, sf_dir)
-    own = next(f"{i7}+{i5}" for (i7, i5), row in s.catalogue[0].pairs.items() if row == 3)
-    split = assigned(spark, sf_dir).filter("row_ix = 3").select("read_id", C.illumina_header("header", PREFIX, F.col("barcode")).alias("header"), "seq", "qual")
-    return reformat.reformat_reads(split, 8, own).select("read_id", "new_header", "new_seq", "mm")
+    """The split reads of all samples, each with its own sample's barcode."""
+    own = sheet_rows(spark, sf_dir).select("row_ix", F.concat("i7", F.lit("+"), "i5").alias("expected"))
+    split = assigned(spark, sf_dir).join(F.broadcast(own), "row_ix").select("read_id", C.illumina_header("header", PREFIX, F.col("barcode")).alias("header"), "seq", "qual", "expected")
+    return reformat.reformat_reads(split, 8, F.col("expected")).select("read_id", "new_header", "new_seq", "mm")
+
+
+@_query(f"with reads as ({reads_sql()}) select read_id, substr(header, 1, length(header) - 2) || ':' || right(seq, 4) || ' 2:N:0:ACGT+TTGG' as new_header, substr(seq, 1, 56) as new_seq, substr(qual, 1, 56) as new_qual, 0 as mm from reads")
+def raw_reformat(spark, sf_dir):
+    return reformat.reformat_reads(reads(spark, sf_dir), 4, "ACGT+TTGG").select("read_id", "new_header", "new_seq", "new_qual", "mm")
 
 
 @_query(f"with reads as ({reads_sql()}) select read_id, header, r1_header from reads where substr(header, 1, length(header) - 1) = substr(r1_header, 1, length(r1_header) - 1)")
 def paired_zip(spark, sf_dir):
-    from readloom.sources.fastq import paired
-
     r = reads(spark, sf_dir)
     one = lambda h, s, q: r.select("read_id", F.col(h).alias("header"), F.col(s).alias("seq"), F.lit("+").alias("plus"), F.col(q).alias("qual"))
-    both = paired(one("header", "seq", "qual"), one("r1_header", "r1_seq", "r1_qual"), ["read_id"])
+    both = fastq.paired(one("header", "seq", "qual"), one("r1_header", "r1_seq", "r1_qual"), ["read_id"])
     return both.select("read_id", "header", "r1_header")
 
 
-@_query(f"with reads as ({reads_sql()}) select read_id, header from reads where read_id < 500")
+@_query(f"with reads as ({reads_sql()}) select cast(row_number() over (order by read_id) - 1 as bigint) as read_id, header from reads qualify row_number() over (order by read_id) <= 500")
 def reads_first_n(spark, sf_dir):
-    return reads(spark, sf_dir).filter(F.col("read_id") < 500).select("read_id", "header")
+    """The first records of a gzip file; the source stops reading there."""
+    path = fastq.scratch_dir(spark, "first")
+    fastq.write_fastq_table(reads(spark, sf_dir).coalesce(1).sortWithinPartitions("read_id"), path)
+    return fastq.read_fastq(spark, path, 500).select("read_id", "header")
 
 
 @_query(f"with reads as ({reads_sql()}) select read_id, 'FC01' as flowcell, '1' as lane, seq, qual from reads")
 def fastq_roundtrip(spark, sf_dir):
     """Writes the reads as gzip FASTQ into the shared folder and reads them back."""
-    from readloom.sources.fastq import read_fastq, scratch_dir, write_fastq_table
-
-    path = scratch_dir(spark, "fastq")
-    write_fastq_table(reads(spark, sf_dir), path)
-    back = read_fastq(spark, path)
+    path = fastq.scratch_dir(spark, "fastq")
+    fastq.write_fastq_table(reads(spark, sf_dir), path)
+    back = fastq.read_fastq(spark, path)
     number = F.regexp_extract("header", r"R...(\d+)/", 1).cast("long")
     return back.select(number.alias("read_id"), C.flowcell_of("header").alias("flowcell"), C.lane_of("header").alias("lane"), "seq", "qual")
 
@@ -445,11 +453,135 @@ def bioinfo_parse(spark, sf_dir):
     return spark.createDataFrame([parse_info(["Machine ID,V350", "Sequence Start Date,2023-12-12", "Sequence Start Time,08:15", "Other,1"])], "instrument string, run string")
 
 
-@_query(f"with reads as ({reads_sql()}) select read_id, translate(reverse(right(seq, 20)), 'ACGT', 'TGCA') as rc, cast(length(regexp_replace(qual, '[^?-~]', '', 'g')) as bigint) as q30, {_ILLUMINA} || ' 2:N:0:X' as header from reads")
+@_query(f"with reads as ({reads_sql()}) select read_id, translate(reverse(right(seq, 20)), 'ACGT', 'TGCA') as rc, cast(length(regexp_replace(qual, '[^?-~]', '', 'g')) as bigint) as q30, {_ILLUMINA} || ' 2:N:0:X' as header, cast(list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c))) as bigint) as qual_sum, cast(hamming(substr(seq, 1, 20), right(seq, 20)) as int) as far from reads")
 def sql_functions(spark, sf_dir):
     C.register_sql_functions(spark)
     reads(spark, sf_dir).createOrReplaceTempView("derived_reads")
-    return spark.sql(f"select read_id, rev_comp(right(seq, 20)) as rc, q30_count(qual) as q30, illumina_header(header, '{PREFIX}', 'X') as header from derived_reads")
+    return spark.sql(f"select read_id, rev_comp(right(seq, 20)) as rc, q30_count(qual) as q30, illumina_header(header, '{PREFIX}', 'X') as header, qual_sum(qual) as qual_sum, hamming(left(seq, 20), right(seq, 20)) as far from derived_reads")
+
+
+# --- jobs: files, reports, checks, streams ---
+
+OPTIONS = {"flowcell": "FC01", "lane": "L01", "instrument": "instrument_1", "run": "20231212"}
+_FILE = "case row_ix when 25 then 'Undetermined' when 26 then 'Ambiguous' else sample_id || '_S' || (row_ix + 1) end || '_L01_R{0}_001.fastq.gz'"
+
+
+def _options() -> jobs.Options:
+    return jobs.Options(info=runinfo.RunInfo(**OPTIONS))
+
+
+@_query(f"""with {matches_sql(DUAL, 1)}, named as (select r.*, a.row_ix, a.barcode, a.umi, s.sample_id from reads r join assigned a using (read_id) left join sheet s using (row_ix)),
+    own as (select read_id, {_FILE.format(2)} as out_file, case when row_ix < 25 then {_ILLUMINA} || ':' || umi || ' 2:N:0:' || barcode else header end as header, case when row_ix < 25 then substr(seq, 1, 40) else seq end as seq, case when row_ix < 25 then substr(qual, 1, 40) else qual end as qual from named),
+    mates as (select read_id, {_FILE.format(1)} as out_file, case when row_ix < 25 then {_ILLUMINA} || ':' || umi || ' 1:N:0:' || barcode else r1_header end as header, r1_seq as seq, r1_qual as qual from named)
+    select out_file, cast(row_number() over (partition by out_file order by read_id) - 1 as bigint) as place, header, seq, qual from (select * from own union all select * from mates)""")
+def demux_files(spark, sf_dir):
+    """The records of all files that the demultiplexing job writes, as they are read back."""
+    s, o = sheet(spark, sf_dir), _options()
+    folder = fastq.scratch_dir(spark, "demux")
+    writers.write_fastq(jobs.output_records(assigned(spark, sf_dir), s, o, True), folder, ["read_id"])
+    back = fastq.read_fastq(spark, folder)
+    return back.select(F.url_decode(F.substring_index("file", "/", -1)).alias("out_file"), F.col("read_id").alias("place"), "header", "seq", "qual")
+
+
+_plain = lambda x: f"rtrim(rtrim(printf('%.6f', {x} / 1e6), '0'), '.')"
+_three = lambda x: f"coalesce(printf('%.3f', {x}), 'NaN')"
+_line = lambda *x: " || chr(9) || ".join(x)
+_div = lambda a, b: f"(cast({a} as double) / nullif(cast({b} as double), 0))"
+
+
+def _reports_oracle() -> str:
+    scopes = "select '' as prefix, row_ix, sample_id, role, all_reads, {0} from per_sample union all select job_number || '_' as prefix, row_ix, sample_id, role, all_reads, {0} from per_sample where role = 'sample'"
+    measures = ", ".join([f"r{i}_{n}" for n in ("qc_30", "bases", "qc") for i in (1, 2, 3)] + ["mm0", "mm1"])
+    head = lambda name, place, text: f"select distinct prefix || 'FC01.L01.readloom.{name}' as name, {place} as place, '{text}' as line from scoped"
+    tab = "' || chr(9) || '"
+    order = "row_number() over (partition by prefix order by all_reads desc, row_ix)"
+    info = f"select prefix || 'FC01.L01.readloom.info' as name, {order} as place, {_line('sample_id', 'mm0', 'mm1')} as line from scoped"
+    sums = "select prefix, sum(r1_bases + r2_bases) as bases, sum(all_reads) as n, sum(r1_qc_30 + r2_qc_30) as q30, sum(r1_qc + r2_qc) as qc, sum(mm0) filter (where role = 'sample') as perfect, sum(all_reads) filter (where role = 'sample') as assigned from scoped group by prefix"
+    lane = f"select prefix || 'FC01.L01.readloom.general' as name, 2 as place, {_line(chr(39) + 'FC01-L01' + chr(39), _plain('bases'), _plain('n'), _three(_div('q30', 'bases') + ' * 100'), _three(_div('qc', 'bases')), _three(_div('perfect', 'assigned') + ' * 100'))} as line from ({sums})"
+    share = lambda a, b: _three(f"coalesce({_div(a, b)}, 0.0) * 100")
+    one = f"select prefix || 'FC01.L01.readloom.general' as name, 4 + {order} as place, {_line('sample_id', _plain('all_reads'), _plain('(r1_qc_30 + r2_qc_30)'), *(share(f'r{i}_qc_30', f'r{i}_bases') for i in (1, 2, 3)), share('mm0', 'all_reads'))} as line from scoped"
+    table = f"select 'FC01.L01.readloom.sample_stats' as name, row_number() over (order by row_ix) as place, {_line('job_number', 'sample_id', *stats.MEASURES, 'mm0', 'mm1')} as line from per_sample"
+    barcodes = "select row_ix, barcode, count(*) as n, row_number() over (partition by row_ix order by count(*) desc, barcode desc) as place from assigned where row_ix >= 25 group by row_ix, barcode"
+    kind = "'FC01.L01.readloom.' || case row_ix when 25 then 'undetermined' else 'ambiguous' end || '_barcode"
+    listed = [f"select {kind}{x}' as name, place - 1 as place, barcode || chr(9) || n as line from ({barcodes}) where {w}" for x, w in (("", "place <= 20"), (".complete", "true"))]
+    heads = [
+        head("info", 0, tab.join(("sample", "0-mismatches", "1-mismatches"))), head("general", 0, "#Lane statistics"), head("general", 3, "#sample general info"),
+        head("general", 1, tab.join(("Run ID-Lane", "Mb Total Yield", "M Total Clusters", "% bases ≥ Q30", "Mean Quality", "% Perfect Index"))),
+        head("general", 4, tab.join(("Sample ID", "M Clusters", "Mb Yield ≥ Q30", "% R1 Yield ≥ Q30", "% R2 Yield ≥ Q30", "% R3 Yield ≥ Q30", "% Perfect Index"))),
+        f"select 'FC01.L01.readloom.sample_stats' as name, 0 as place, '{tab.join(('job_number', 'sample_id', *stats.MEASURES, '0-mismatches', '1-mismatches'))}' as line",
+    ]
+    parts = " union all ".join(f"({x})" for x in [*heads, info, lane, one, table, *listed])
+    return f"{_STATS}, scoped as ({scopes.format(measures)}) select name, cast(place as int) as place, line from ({parts})"
+
+
+@_query(_reports_oracle())
+def demux_reports(spark, sf_dir):
+    """The lines of all reports that the demultiplexing job writes."""
+    s, folder = sheet(spark, sf_dir), fastq.scratch_dir(spark, "reports")
+    store.make_folder(folder)
+    jobs.write_reports(assigned(spark, sf_dir), s, folder, _options(), "r1_qual")
+    texts = spark.read.text(folder, wholetext=True).select(F.url_decode(F.substring_index(F.col("_metadata.file_path"), "/", -1)).alias("name"), "value")
+    return texts.select("name", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("place", "line"))
+
+
+@_query("select cast(n_nationkey as int) as row_ix, ['', 'indexes twice', 'letters', 'no template', 'no i5', 'index length', 'no i7 column'][cast(n_nationkey as int) % 7 + 1] as fault, n_nationkey % 7 = 0 as accepted from nation")
+def sheet_checks(spark, sf_dir):
+    """Sheets of two samples, each with one fault, as the reader and the planner judge them."""
+    rows = sorted(sheet_rows(spark, sf_dir).collect())
+    faults = ("", "indexes twice", "letters", "no template", "no i5", "index length", "no i7 column")
+    out = []
+    for k, r in enumerate(rows):
+        fault, other = faults[k % 7], rows[k - 1]
+        columns = ["sample_id", "i7", "i5", "template"]
+        cells = [[r.sample_id, r.i7, r.i5, "i78:um4:i58"], [other.sample_id, other.i7, other.i5, "i78:um4:i58"]]
+        if fault == "indexes twice":
+            cells[1][1:3] = cells[0][1:3]
+        elif fault == "no i7 column":
+            columns[1] = "i9"
+        elif fault:
+            at, value = {"letters": (1, "ACGTACGX"), "no template": (3, MISSING), "no i5": (2, MISSING), "index length": (1, "ACGTACG")}[fault]
+            cells[1][at] = value
+        try:
+            build_sheet(parse_sheet(["\t".join(x) for x in (columns, *cells)]))
+            accepted = True
+        except SheetError:
+            accepted = False
+        out.append((r.row_ix, fault, accepted))
+    return local_frame(spark, out, "row_ix int, fault string, accepted boolean")
+
+
+@_query(f"""with reads as ({reads_sql()}), bad as (select read_id, header, r1_header, case when read_id % 11 = 0 then seq || 'X' else seq end as seq, qual, case when read_id % 13 = 0 then substr(r1_seq, 2) else r1_seq end as r1_seq, r1_qual, case when read_id % 7 = 0 then 'x' else '' end as extra from reads)
+    select case when read_id % 11 = 0 then 'bases' when read_id % 13 = 0 then 'mate length' when read_id % 7 = 0 then 'mates have different headers' end as problem, count(*) as n from bad group by 1""")
+def validate_errors(spark, sf_dir):
+    """What the job's validation of pairs raises, counted."""
+    spoilt = reads(spark, sf_dir).selectExpr("header", "if(read_id % 11 = 0, seq || 'X', seq) as seq", "qual", "if(read_id % 7 = 0, r1_header || 'x', r1_header) as r1_header", "if(read_id % 13 = 0, substr(r1_seq, 2), r1_seq) as r1_seq", "r1_qual")
+    return spoilt.groupBy(jobs.problem_of(True, True).alias("problem")).agg(F.count("*").alias("n"))
+
+
+def _stream(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    path = fastq.scratch_dir(spark, "arriving")
+    arriving = reads(spark, sf_dir).select("read_id", *columns) if columns else spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("cast(ts as timestamp) as ts", "cast(event_id % 25 as int) as row_ix")
+    arriving.repartition(3).write.parquet(path)
+    return spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@_query(f"{_STATS} select job_number, sample_id, {_MEASURES}, mm0, mm1 from per_sample")
+def stream_sample_stats(spark, sf_dir):
+    """The statistics of reads that arrive in three micro-batches, summed up."""
+    s = sheet(spark, sf_dir)
+    at, checkpoint = (fastq.scratch_dir(spark, x) for x in ("batches", "stream"))
+    lanes.start_statistics(_stream(spark, sf_dir, "seq", "qual", "r1_qual"), s, at, checkpoint, mate_qual="r1_qual").awaitTermination()
+    rows = stats.per_sample(lanes.totals(spark, at), s.frame(spark))
+    return stats.sample_statistics(rows, M).toDF("job_number", "sample_id", *stats.MEASURES, "mm0", "mm1")
+
+
+@_query("select strftime(time_bucket(interval '10 minutes', ts), '%Y-%m-%d %H:%M:%S') as arrived, cast(event_id % 25 as int) as row_ix, count(*) as n from events group by all")
+def stream_arrivals(spark, sf_dir):
+    """Reads by arrival window and sample, of a stream that has ended."""
+    name = f"arrivals_{uuid.uuid4().hex}"
+    counts = lanes.arrivals(_stream(spark, sf_dir), late="36500 days")
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", fastq.scratch_dir(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("arrived"), "row_ix", "n")
 
 
 del _m

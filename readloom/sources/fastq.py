@@ -53,11 +53,25 @@ def _frame(limit: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         raise FastqError(f"{file}: the last record is not whole")
 
 
+def files_of(spark: SparkSession, path: str | list[str]) -> list[tuple[str, str]]:
+    """The files that a path or a list of paths stands for, and their names in the column file; nothing of them is read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    return sorted((r.path, r.file) for r in found.select("path", F.col("_metadata.file_path").alias("file")).collect())
+
+
 def read_fastq(spark: SparkSession, path: str | list[str], first: int | None = None) -> DataFrame:
     """file, read_id (the record's number in its file), header, seq, plus, qual of gzip FASTQ files, several members
-    included. first: only so many records of each file."""
-    lines = spark.read.option("pathGlobFilter", "*.gz").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return lines.mapInArrow(lambda it: _frame(first, it), SCHEMA)
+    included. first: only so many records of each file; reading stops there."""
+    def lines(of: str | list[str]) -> DataFrame:
+        return spark.read.option("pathGlobFilter", "*.gz").text(of).select(F.col("_metadata.file_path").alias("file"), "value")
+
+    if first is None:
+        return lines(path).mapInArrow(lambda it: _frame(None, it), SCHEMA)
+    heads = [lines(p).limit(4 * first) for p in ([path] if isinstance(path, str) and path.endswith(".gz") else [p for p, _ in files_of(spark, path)])]
+    out = heads[0]
+    for h in heads[1:]:
+        out = out.unionAll(h)
+    return out.mapInArrow(lambda it: _frame(first, it), SCHEMA)
 
 
 def paired(barcode_reads: DataFrame, mates: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,18 +87,21 @@ def read_pairs(spark: SparkSession, barcode_path: str, mate_path: str, first: in
     """One file, or one lane, of pairs; files are paired in the order of their names."""
     def numbered(path: str) -> DataFrame:
         df = read_fastq(spark, path, first)
-        files = sorted(r.file for r in df.select("file").distinct().collect()) if not path.endswith(".gz") else None
-        if files is None:
+        if path.endswith(".gz"):
             return df.withColumn("pair", F.lit(0))
-        ranks = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))])
+        ranks = F.create_map(*[x for i, (_, f) in enumerate(files_of(spark, path)) for x in (F.lit(f), F.lit(i))])
         return df.withColumn("pair", ranks[F.col("file")])
 
     return paired(numbered(barcode_path), numbered(mate_path), ["pair", "read_id"])
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which goes when the driver ends; a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="readloom-")
+    """A new folder under spark.checkpoint.dir, which goes when the driver ends. Where that is unset, a local one in local
+    mode, and elsewhere an error: executors would not see each other's files."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="readloom-")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)

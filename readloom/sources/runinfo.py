@@ -7,6 +7,8 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from readloom.sources import store
+
 # fixed values: the keys of a run information file
 MACHINE, DATES, TIMES = "Machine ID,", ("Sequence Date,", "Sequence Start Date,"), ("Sequence Time,", "Sequence Start Time,")
 R1_SUFFIX, R2_SUFFIX = "_read_1.fq.gz", "_read_2.fq.gz"
@@ -29,11 +31,11 @@ def parse_info(lines: Iterable[str]) -> tuple[str, str]:
 def find_info_file(given: str | None, barcode_read: str) -> str | None:
     """The given file, or BioInfo.csv beside the barcode read."""
     if given:
-        if not os.path.isfile(given):
+        if not store.is_file(given):
             raise FileNotFoundError(given)
         return given
-    beside = os.path.join(os.path.dirname(barcode_read), "BioInfo.csv")
-    return beside if os.path.isfile(beside) else None
+    beside = store.joined(os.path.dirname(barcode_read), "BioInfo.csv")
+    return beside if store.is_file(beside) else None
 
 
 def lane_of_file(path: str) -> str:
@@ -44,11 +46,12 @@ def lane_of_file(path: str) -> str:
 
 def find_reads(folder: str, r1_suffix: str = R1_SUFFIX, r2_suffix: str = R2_SUFFIX) -> tuple[str, str]:
     """The read files of a folder; the second is '' for single-end data."""
-    found = {s: sorted(n for n in os.listdir(folder) if n.endswith(s)) for s in (r1_suffix, r2_suffix)}
+    there = store.names(folder)
+    found = {s: [n for n in there if n.endswith(s)] for s in (r1_suffix, r2_suffix)}
     for suffix, names in found.items():
         if len(names) > 1:
             raise ValueError(f"{folder} has several files *{suffix}")
-    paths = [os.path.join(folder, names[0]) for names in found.values() if names]
+    paths = [store.joined(folder, names[0]) for names in found.values() if names]
     if not paths:
         raise FileNotFoundError(f"{folder} has no reads *{r1_suffix} or *{r2_suffix}")
     return paths[0], paths[1] if len(paths) > 1 else ""
@@ -57,7 +60,7 @@ def find_reads(folder: str, r1_suffix: str = R1_SUFFIX, r2_suffix: str = R2_SUFF
 def roles(read1: str, read2: str = "") -> tuple[str, str | None]:
     """The file with the barcodes and its mate: read 2 and read 1, or read 1 alone."""
     for p in filter(None, (read1, read2)):
-        if not os.path.isfile(p):
+        if not store.is_file(p):
             raise FileNotFoundError(p)
     return (read2, read1) if read2 else (read1, None)
 

@@ -1,14 +1,12 @@
 """Sinks: FASTQ files by sample under exact names, and text reports.
 
-FASTQ is written in two steps. Tasks compress their sorted share of each file as gzip members, under a name that a retried
-task writes again alike; then members are joined in order, which needs no decompression, as gzip members may follow each
-other. The output folder must be one that all executors see.
+FASTQ is written in two steps. Tasks compress their sorted share of each file as gzip members, under a name of each attempt's
+own; then tasks, one for each file, join its members in order, which needs no decompression, as gzip members may follow each
+other. The driver gets the members' names alone. The output folder may lie in any store of readloom.sources.store.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
 from collections.abc import Iterable, Iterator
 from decimal import Decimal
 
@@ -16,9 +14,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from readloom.plans.session import local_frame
+from readloom.sources import store
 from readloom.sources.fastq import gzip_member
 
 MEMBER_READS = 20_000
+PARTS = "_parts"
 
 
 def illumina_file(sample: str, number: int | None, lane: str, mate: int) -> str:
@@ -32,64 +33,115 @@ def mgi_file(sample: str, lane: str, mate: int) -> str:
 
 def prepare_folder(path: str, force: bool = False) -> str:
     """A new folder, or, with force, an existing one."""
-    if os.path.isdir(path) and os.listdir(path) and not force:
+    if store.names(path) and not force:
         raise FileExistsError(f"{path} exists; force writes into it")
-    os.makedirs(path, exist_ok=True)
+    store.make_folder(path)
     return path
 
 
 def clean_outputs(folder: str, names: Iterable[str]) -> None:
-    """Removes what a run is about to write."""
-    for name in names:
-        if os.path.isfile(os.path.join(folder, name)):
-            os.remove(os.path.join(folder, name))
+    """Removes what a run may write, so that nothing of an earlier run stays beside it."""
+    there = set(store.names(folder))
+    for name in set(names) & there:
+        store.remove_file(store.joined(folder, name))
 
 
 def _members(folder: str, level: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, written, handles = TaskContext.get().partitionId(), {}, {}
-    attempt = TaskContext.get().taskAttemptId()
-
-    def put(name: str, records: list[tuple[str, str, str]]) -> None:
-        at = os.path.join(folder, "_parts", name)
-        os.makedirs(at, exist_ok=True)
-        if name not in handles:
-            handles[name] = open(os.path.join(at, f".{part:06d}-{attempt}"), "wb")
-        handles[name].write(gzip_member(records, level))
-        written[name] = written.get(name, 0) + len(records)
-
-    name, held = None, []
+    """Writes a partition's share of each file; rows come file by file."""
+    context = TaskContext.get()
+    part, own = context.partitionId(), f"{context.partitionId():06d}-{context.taskAttemptId()}"
+    done: list[tuple[str, int, str, int]] = []
+    at, out, n, held = None, None, 0, []
+
+    def flush() -> None:
+        nonlocal held, n
+        if held:
+            out.write(gzip_member(held, level))
+            n, held = n + len(held), []
+
+    def close() -> None:
+        if out is not None:
+            flush()
+            out.close()
+            done.append((at, part, path, n))
+
+    path = ""
     for batch in batches:
         for file, *record in zip(*(batch.column(c).to_pylist() for c in ("out_file", "header", "seq", "qual"))):
-            if held and (file != name or len(held) >= MEMBER_READS):
-                put(name, held)
-                held = []
-            name = file
+            if file != at:
+                close()
+                folder_ = store.joined(folder, f"{PARTS}/{file}")
+                store.make_folder(folder_)
+                path, at, n = store.joined(folder_, own), file, 0
+                fs, key = store.located(path)
+                out = fs.open_output_stream(key, compression=None)
             held.append(tuple(record))
-    if held:
-        put(name, held)
-    for n, h in handles.items():
-        h.close()
-        os.replace(h.name, os.path.join(folder, "_parts", n, f"{part:06d}.gz"))
-    yield pa.RecordBatch.from_pydict({"out_file": list(written), "n": list(written.values())}, pa.schema([("out_file", pa.string()), ("n", pa.int64())]))
+            if len(held) >= MEMBER_READS:
+                flush()
+    close()
+    columns = list(zip(*done)) or [()] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["out_file", "part", "path", "n"])
+
+
+def _join(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    attempt = TaskContext.get().taskAttemptId()
+    for batch in batches:
+        for name, paths in zip(batch.column("out_file").to_pylist(), batch.column("paths").to_pylist()):
+            store.join_files(paths, store.joined(folder, name), store.joined(folder, f"{PARTS}/{name}-{attempt}"))
+        yield batch.select(["out_file"])
+
+
+def _joined(spark, folder: str, parts: list) -> None:
+    """Joins parts (out_file, part, path), one task for each file."""
+    files: dict[str, list] = {}
+    for r in sorted(parts, key=lambda r: r.part):
+        files.setdefault(r.out_file, []).append(r.path)
+    if files:
+        frame = local_frame(spark, sorted(files.items()), "out_file string, paths array<string>")
+        frame.repartition(len(files), "out_file").mapInArrow(lambda it: _join(folder, it), "out_file string").collect()
+    store.remove_folder(store.joined(folder, PARTS))
 
 
 def write_fastq(records: DataFrame, folder: str, order: list[Column | str], partitions: int | None = None, level: int = 1) -> dict[str, int]:
     """records: out_file, header, seq, qual. Returns the reads of each file. Files hold their reads by order; a file of any
     size is spread over tasks by range."""
-    n = partitions or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = records.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store.make_folder(folder)
     ranged = records.repartitionByRange(n, "out_file", *order).sortWithinPartitions("out_file", *order)
-    done = ranged.select("out_file", "header", "seq", "qual").mapInArrow(lambda it: _members(folder, level, it), "out_file string, n long")
-    counts = {r.out_file: r.n for r in done.groupBy("out_file").agg(F.sum("n").alias("n")).collect()}
-    for name in counts:
-        parts = os.path.join(folder, "_parts", name)
-        with open(os.path.join(folder, name), "wb") as out:
-            for p in sorted(x for x in os.listdir(parts) if x.endswith(".gz")):
-                with open(os.path.join(parts, p), "rb") as f:
-                    shutil.copyfileobj(f, out, 1 << 20)
-    shutil.rmtree(os.path.join(folder, "_parts"), ignore_errors=True)
+    parts = ranged.select("out_file", "header", "seq", "qual").mapInArrow(lambda it: _members(folder, level, it), "out_file string, part int, path string, n long").collect()
+    counts: dict[str, int] = {}
+    for r in parts:
+        counts[r.out_file] = counts.get(r.out_file, 0) + r.n
+    _joined(spark, folder, parts)
     return counts
 
 
+def _text_parts(folder: str, name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    context = TaskContext.get()
+    path = store.joined(folder, f"{PARTS}/{name}/{context.partitionId():06d}-{context.taskAttemptId()}")
+    out, n = None, 0
+    for batch in batches:
+        if batch.num_rows and out is None:
+            store.make_folder(store.joined(folder, f"{PARTS}/{name}"))
+            fs, key = store.located(path)
+            out = fs.open_output_stream(key, compression=None)
+        for line in batch.column("line").to_pylist():
+            out.write(f"{line}\n".encode())
+            n += 1
+    if out is not None:
+        out.close()
+    yield pa.RecordBatch.from_pydict({"out_file": [name] * (n > 0), "part": [context.partitionId()] * (n > 0), "path": [path] * (n > 0)}, pa.schema([("out_file", pa.string()), ("part", pa.int32()), ("path", pa.string())]))
+
+
+def write_lines(rows: DataFrame, folder: str, name: str) -> str | None:
+    """The rows of any number, in their order, as tab-separated lines of one file, written by tasks; no file without rows."""
+    shown = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns]
+    parts = rows.select(F.concat_ws("\t", *shown).alias("line")).mapInArrow(lambda it: _text_parts(folder, name, it), "out_file string, part int, path string").collect()
+    _joined(rows.sparkSession, folder, parts)
+    return store.joined(folder, name) if parts else None
+
+
 # --- text reports ---
 
 
@@ -117,7 +169,6 @@ def general_text(lane: DataFrame, samples: DataFrame) -> str:
 
 
 def write_text(folder: str, name: str, text: str) -> str:
-    path = os.path.join(folder, name)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    path = store.joined(folder, name)
+    store.write_bytes(path, text.encode())
     return path

@@ -71,6 +71,25 @@ def test_demultiplex(spark, tmp_path):
         jobs.demultiplex(spark, str(tmp_path / "in" / "sheet.tsv"), folder=str(tmp_path / "in"), output=str(out))
 
 
+def test_force_cleans_earlier_outputs(spark, tmp_path):
+    fixture(tmp_path / "in")
+    out = tmp_path / "out"
+    out.mkdir()
+    for name in ("A_S1_L01_R1_001.fastq.gz", "Ambiguous_L01_R1_001.fastq.gz", "FC01.L01.readloom.ambiguous_barcode", "notes.txt"):
+        (out / name).write_text("of an earlier run")
+    jobs.demultiplex(spark, str(tmp_path / "in" / "sheet.tsv"), folder=str(tmp_path / "in"), output=out.as_uri(), o=jobs.Options(force=True))
+    assert len(lines(out / "A_S1_L01_R1_001.fastq.gz")) == 20 and (out / "notes.txt").read_text() == "of an earlier run"
+    assert not (out / "Ambiguous_L01_R1_001.fastq.gz").exists() and not (out / "FC01.L01.readloom.ambiguous_barcode").exists() and not (out / "_parts").exists()
+    assert (out / "FC01.L01.readloom.undetermined_barcode.complete").read_text() == (out / "FC01.L01.readloom.undetermined_barcode").read_text()
+
+
+def test_first_records_stop_reading(spark, tmp_path):
+    """What follows the first records isn't read: here it isn't FASTQ."""
+    (tmp_path / "a b.fq.gz").write_bytes(gzip_member([(f"@r{i}", "ACGT", "IIII") for i in range(9)]) + gzip.compress(b"not\nfastq\nat all\n" * 50_000))
+    assert [r.header for r in read_fastq(spark, str(tmp_path / "a b.fq.gz"), 3).collect()] == ["@r0", "@r1", "@r2"]
+    assert read_fastq(spark, str(tmp_path), 9).count() == 9
+
+
 def test_single_end_and_formats(spark, tmp_path):
     fixture(tmp_path / "in")
     o = jobs.Options(illumina=False, mgi_full_header=True, keep_barcode=True, report_level=0, undetermined_label="U")
