@@ -184,12 +184,18 @@ def _family_links(keys: DataFrame, sizes: DataFrame, texts: DataFrame, percent:
     return dealt.groupBy("root", "i", "j").applyInArrow(lambda d: _linked_blocks(percent, d), "a long, b long")
 
 
+def _parted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs (u, v), which are read twice, with the column part: a frequent u is split into parts of about PAIRS_PER_GROUP.
+    And u and parts of the frequent ones."""
+    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS_PER_GROUP).cast("int").alias("parts"))
+    many = written(many.filter("parts > 1"), "many")
+    part = F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int")
+    return pairs.join(many, "u", "left").select("u", "v", part.alias("part")), many
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v), those whose sets are similar, as edges a, b. A frequent u is split into groups of
-    PAIRS_PER_GROUP."""
-    many = written(pairs.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") > PAIRS_PER_GROUP), "many")
-    part = F.pmod(F.xxhash64("v"), F.ceil(F.coalesce("n", F.lit(1)) / PAIRS_PER_GROUP)).cast("int")
-    pairs = pairs.join(many, "u", "left").select("u", "v", part.alias("part"))
+    """Of pairs (u, v), those whose sets are similar, as edges a, b; by parts of u."""
+    pairs, _ = _parted(pairs)
     needed = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     texts = written(_among(texts, needed), "texts")
     members = pairs.join(texts.withColumnRenamed("doc_id", "v"), "v")
@@ -237,7 +243,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     firsts = keys.groupBy("band").agg(F.min("rep").alias("u"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") < DENSE)).select("band", "u")
     met = keys.join(firsts, "band").filter("rep > u").groupBy(F.col("rep").alias("v"), "u").agg(F.count("*").alias("n"))
     best = met.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))
-    found = links_of(_possible(best.join(side(bits, "v"), "v").join(side(bits, "u"), "u"), percent))
+    best, many = _parted(written(best, "best"))  # u's bits go to each of its parts
+    parts = side(bits, "u").join(many, "u", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    found = links_of(_possible(best.join(parts, ["u", "part"]).join(side(bits, "v"), "v"), percent))
     edges = edges if found is None else written(edges.unionAll(found), "edges")
 
     rooted = reps.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
