@@ -269,6 +269,20 @@ def test_least_hits():
     assert 5 <= decontam.least_hits(1000, 32, 75) <= 14
 
 
+def test_item_partitions():
+    """Sizes decide the share of the hash space, the sketch's size and the least hits; every contained item is a candidate."""
+    assert [decontam.partition_of(n) for n in (1, 32, 33, 64, 65, 128, 129, 1000)] == [0, 0, 1, 1, 2, 2, 3, 5]
+    rng = random.Random(8)
+    items = [(k, " ".join(f"i{rng.randrange(10**6)}" for _ in range(n))) for k, n in enumerate([5, 30, 36, 37, 60, 70, 100, 200, 500, 900, 2000] * 3)]
+    index = decontam.Index(items, 75)
+    assert [int(p.halved) for p in index.partitions] == sorted({int(p.halved) for p in index.partitions}) and len(index.partitions) >= 5
+    sizes = {int(p.halved): [sum(p.owner == i) for i in set(p.owner.tolist())] for p in index.partitions}
+    assert all(max(s) <= 64 for s in sizes.values()) and all(min(s) >= 16 for h, s in sizes.items() if h)
+    documents = [" ".join([*(f"d{rng.randrange(10**6)}" for _ in range(rng.randrange(3000))), t, "end"]) for _, t in items]
+    found = index.contained(neardup.shingle_sets(pa.array(documents)))
+    assert [(d, i) for d, i, _, _ in found] == [(k, k) for k in range(len(items))]
+
+
 def test_digest_of_pieces():
     assert zlib.crc32(struct.pack("<2I", 7, 1)) == zlib.crc32(b"\x07\0\0\0\x01\0\0\0")
 
