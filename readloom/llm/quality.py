@@ -1,17 +1,22 @@
 """Importance resampling: documents are drawn by how much likelier a target's n-gram model makes them than the raw one's.
 
-Three kinds of n-grams are hashed into BUCKETS each: words, word pairs and byte triples. A pair's hash is that of the
-difference of its words' hashes, so that all immediate repeats share a bucket. The raw model counts all documents, by
-partial sums on the executors; the target model counts the good documents of a bounded labelled sample. A document's log
-weight is SCALE times the mean, over the kinds, of the mean log ratio of its n-grams. Gumbel noise from its doc_id is
-added, and the k largest sums are drawn: a sample without replacement with these weights.
+A document is a bag of hashed n-grams of three kinds: words, word pairs and byte triples. A pair's hash is that of the
+difference of its words' hashes, so that all immediate repeats share a bucket. The raw model counts all documents, by partial
+sums on the executors; the target model counts the good documents of a bounded labelled sample. A document's log weight is
+the log of the ratio of its probabilities under both models, the sum over its n-grams. Gumbel noise from its doc_id is added,
+and the k largest sums are drawn: a sample without replacement with these weights.
+
+The number of buckets grows with the square root of the corpus, about as its vocabulary does: bucket_bits(). A table of
+ratios, of 12 bytes a bucket, is what the driver and each worker hold.
 
 k is a parameter; by default it is the number of documents whose weight is at least the cut that best parts good and bad
-documents of the sample. The k-th largest sum is found by counting in ever finer bins, not by sorting in one task.
+documents of the sample. Of the sample's good documents, those that the cut is chosen on aren't in the target model. The k-th
+largest sum is found by counting in ever finer bins, not by sorting in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,18 +26,23 @@ from pyspark.sql import DataFrame, functions as F
 from readloom.llm.shared import sample_slices, text_slices, written
 from readloom.llm.words import Words, mix, words_of
 
-BUCKETS = 1 << 14
 KINDS = 3
-SCALE = 200.0
+LEAST_BITS, LEAST_BYTES = 14, 64 << 20  # so many buckets, as a power of two, for corpora up to so many bytes
+CALIBRATED = 4  # one good document of so many chooses the cut
+LOST = 3  # bad documents that are kept for each good one that is lost, at the cut
 SEED = 17
 BINS = 1024
 FEW = 10_000  # candidates for the k-th place that may reach the driver
 
-_SHIFT = np.uint64(64 - 14)
+
+def bucket_bits(size: int) -> int:
+    """For a corpus of size bytes of text: the buckets of each kind, as a power of two."""
+    return LEAST_BITS + math.ceil(math.log2(max(1.0, math.sqrt(size / LEAST_BYTES))))
 
 
-def grams(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+def grams(w: Words, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind: the buckets of its n-grams and the texts that they are in."""
+    shift = np.uint64(64 - bits)
     h, text_of = w.hashes(), w.text_of
     pair = text_of[1:] == text_of[:-1]
     b = w.buf.astype(np.uint64)
@@ -40,57 +50,56 @@ def grams(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     own = np.repeat(np.arange(len(w.offsets) - 1), np.diff(w.offsets))
     inside = own[2:] == own[:-2] if len(b) > 2 else np.zeros(0, bool)
     return [
-        ((h >> _SHIFT).astype(np.int32), text_of),
-        ((mix(h[1:] - h[:-1]) >> _SHIFT).astype(np.int32)[pair], text_of[1:][pair]),
-        ((mix(triple + np.uint64(1)) >> _SHIFT).astype(np.int32)[inside], own[2:][inside] if len(b) > 2 else own[:0]),
+        ((h >> shift).astype(np.int32), text_of),
+        ((mix(h[1:] - h[:-1]) >> shift).astype(np.int32)[pair], text_of[1:][pair]),
+        ((mix(triple + np.uint64(1)) >> shift).astype(np.int32)[inside], own[2:][inside] if len(b) > 2 else own[:0]),
     ]
 
 
-def counts_of(texts: pa.ChunkedArray) -> np.ndarray:
-    return np.stack([np.bincount(bucket, minlength=BUCKETS) for bucket, _ in grams(words_of(texts))])
+def counts_of(texts: pa.ChunkedArray, bits: int) -> np.ndarray:
+    return np.stack([np.bincount(bucket, minlength=1 << bits) for bucket, _ in grams(words_of(texts), bits)])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((KINDS, BUCKETS), np.int64)
+def _count(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((KINDS, 1 << bits), np.int64)
     for batch in batches:
         for rows in text_slices(batch, "text", 2 << 20):
-            total += counts_of(rows.column("text"))
+            for kind, (bucket, _) in enumerate(grams(words_of(rows.column("text")), bits)):
+                at, n = np.unique(bucket, return_counts=True)
+                total[kind, at] += n
     flat = total.ravel()
     at = np.flatnonzero(flat)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], ["bucket", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(flat[at])], ["bucket", "n"])
 
 
-def raw_counts(rows: DataFrame) -> np.ndarray:
-    """n-gram counts over all rows: at most KINDS * BUCKETS sums reach the driver."""
-    sums = rows.select("text").mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(KINDS * BUCKETS)
-    out[[r.bucket for r in sums]] = [r.n for r in sums]
-    return out.reshape(KINDS, BUCKETS)
+def raw_counts(rows: DataFrame, bits: int) -> np.ndarray:
+    """n-gram counts over all rows: at most a sum for each bucket reaches the driver, as Arrow batches."""
+    sums = rows.select("text").mapInArrow(lambda it: _count(bits, it), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(KINDS << bits)
+    out[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    return out.reshape(KINDS, 1 << bits)
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """The log ratio of both models for each bucket; raw's share of a bucket is added to target as one count for each
-    hundred, so that buckets that target hasn't seen aren't impossible."""
-    p = (raw + 1) / (raw + 1).sum(1, keepdims=True)
-    prior = np.maximum(target.sum(1, keepdims=True), 1) / 100
-    q = (target + prior * p) / (target + prior * p).sum(1, keepdims=True)
-    return np.log(q / p)
+    """The log ratio of both models' probabilities for each kind and bucket; raw's probabilities are added to target as one
+    count for each hundred, so that buckets that target hasn't seen aren't impossible."""
+    p = (raw + 1) / (raw + 1).sum()
+    prior = max(target.sum(), 1) / 100
+    q = (target + prior * p) / (target + prior * p).sum()
+    return np.log(q / p).astype(np.float32)
 
 
 def weights_of(texts: pa.ChunkedArray, ratios: np.ndarray) -> np.ndarray:
-    n = len(texts)
-    total = np.zeros(n)
-    for kind, (bucket, text) in enumerate(grams(words_of(texts))):
-        many = np.bincount(text, minlength=n)
-        total += np.bincount(text, ratios[kind][bucket], n) / np.maximum(1, many)
-    return SCALE * total / KINDS
+    """The log weight of each text: the sum of its n-grams' log ratios."""
+    bits = ratios.shape[1].bit_length() - 1
+    return sum(np.bincount(text, ratios[kind][bucket], len(texts)) for kind, (bucket, text) in enumerate(grams(words_of(texts), bits)))
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The cut between the sample's weights with the fewest errors, where losing a good document counts threefold."""
+    """The cut between the sample's weights with the fewest errors, where losing a good document counts LOST times."""
     order = np.argsort(weights)
     y = good[order].astype(float)
-    errors = np.concatenate([[(1 - y).sum()], (1 - y).sum() - np.cumsum(1 - y) + 3 * np.cumsum(y)])
+    errors = np.concatenate([[(1 - y).sum()], (1 - y).sum() - np.cumsum(1 - y) + LOST * np.cumsum(y)])
     at = int(errors.argmin())
     w = weights[order]
     return float(w[0] - 1 if at == 0 else w[-1] + 1 if at == len(w) else (w[at - 1] + w[at]) / 2)
@@ -133,23 +142,25 @@ class Draw:
     """The models and the k-th place of a sample drawn from docs; see resample() for the parameters."""
 
     def __init__(self, docs: DataFrame, sample: list[tuple[str, int]], k: int | None = None, seed: int = SEED, doc_id: str = "doc_id", text: str = "text"):
-        self.seed = seed
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        good = [t for t, y in sample if y]
-        target = sum((counts_of(part) for part in sample_slices(good)), np.zeros((KINDS, BUCKETS)))
-        self.ratios = ratios = log_ratios(target, raw_counts(rows)) if good else np.zeros((KINDS, BUCKETS))
+        good, bad = ([t for t, y in sample if bool(y) == v] for v in (True, False))
+        judged, good = good[::CALIBRATED], [t for i, t in enumerate(good) if i % CALIBRATED] or good
+        bits = bucket_bits(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+        target = sum((counts_of(part, bits) for part in sample_slices(good)), np.zeros((KINDS, 1 << bits)))
+        self.ratios = ratios = log_ratios(target, raw_counts(rows, bits)) if good else np.zeros((KINDS, 1 << bits), np.float32)
         weighed = rows.mapInArrow(lambda it: _weigh(ratios, it), "doc_id long, log_weight double")
-        self.keyed = written(weighed.withColumn("key", F.col("log_weight") + self.noise(F.col("doc_id"))), "weights")
+        self.keyed = written(weighed.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), F.lit(seed))), "weights")
         if k is None:
-            y = np.array([y for _, y in sample], bool)
-            cut = best_cut(np.concatenate([weights_of(part, ratios) for part in sample_slices([t for t, _ in sample])]), y) if y.any() and not y.all() else -np.inf
+            y = np.repeat([True, False], [len(judged), len(bad)])
+            cut = best_cut(np.concatenate([weights_of(part, ratios) for part in sample_slices([*judged, *bad])]), y) if judged and bad else -np.inf
             k = self.keyed.filter(F.col("log_weight") >= float(cut)).count()
         self.last = kth_largest(self.keyed.select("key", _order(F.col("doc_id")).alias("doc_id")), k) or (np.inf, -1 << 63)
 
-    def noise(self, doc_id):
-        """Gumbel noise that depends on the id alone."""
-        unit = (F.shiftrightunsigned(F.xxhash64(_order(doc_id), F.lit(self.seed)), 11) + 0.5) / float(1 << 53)
-        return -F.log(-F.log(unit))
+
+def gumbel(doc_id, seed):
+    """Gumbel noise that depends on the id and the seed alone."""
+    unit = (F.shiftrightunsigned(F.xxhash64(_order(doc_id), seed), 11) + 0.5) / float(1 << 53)
+    return -F.log(-F.log(unit))
 
 
 def _order(doc_id):
@@ -159,7 +170,8 @@ def _order(doc_id):
 def resample(docs: DataFrame, sample: list[tuple[str, int]], k: int | None = None, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, log_weight, key (log_weight with noise), and kept: whether the document is among the k drawn.
 
-    sample: (text, 1 if good). Null and empty texts have no n-grams and weight 0 on the log scale. Equal keys are told apart
+    sample: (text, 1 if good). Texts of any length are weighed whole. Null and empty texts have no n-grams and weight 0 on the
+    log scale. An empty table gives no rows. Equal keys are told apart
     by doc_id; rows that share a doc_id share the noise, and all those at the k-th place are kept. Null ids count as the
     smallest. Other columns are left out.
     """
@@ -178,9 +190,9 @@ def _keep(ratios: np.ndarray, last: tuple[float, int], names: list[str], batches
 
 
 def drawn_documents(docs: DataFrame, sample: list[tuple[str, int]], k: int | None = None, seed: int = SEED) -> DataFrame:
-    """The rows of docs (doc_id, text and any others) that resample() keeps, unchanged. Texts are weighed once more instead
-    of being shuffled to their verdicts."""
+    """The rows of docs (doc_id, text and any others) that resample() keeps, unchanged: null, empty and long texts, ties,
+    repeated rows and empty tables are as there. Texts are weighed once more instead of being shuffled to their verdicts."""
     drawn = Draw(docs, sample, k, seed)
     ratios, last, names = drawn.ratios, drawn.last, docs.columns
-    more = docs.select("*", drawn.noise(F.col("doc_id")).alias("gumbel noise of the draw"), _order(F.col("doc_id")).alias("order of the draw"))
+    more = docs.select("*", gumbel(F.col("doc_id"), F.lit(seed)).alias("gumbel noise of the draw"), _order(F.col("doc_id")).alias("order of the draw"))
     return more.mapInArrow(lambda it: _keep(ratios, last, names, it), docs.schema)
