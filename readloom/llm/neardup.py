@@ -264,6 +264,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of docs for each component: that of the smallest doc_id. Rows without doc_id stay; all columns stay."""
+    """One row of docs for each component: that of the smallest doc_id. Rows without doc_id, null and empty texts stay, as
+    they are linked with nothing, and texts of any length are compared whole. Of rows that share a doc_id, the one with the
+    smallest text stays (then the smallest by all columns as JSON), so reruns agree. An empty table stays empty; all columns
+    stay, whatever their names."""
     ids = near_duplicates(docs, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionAll(docs.filter("doc_id is null"))
+    kept = docs.join(ids, "doc_id", "left_semi")
+    repeated = written(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter(F.col("rows") > 1).select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        first = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row of the smallest text")).select("row of the smallest text.*")
+        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionAll(first)
+    return kept.select(*docs.columns).unionAll(docs.filter("doc_id is null"))

@@ -224,6 +224,11 @@ def test_near_duplicates_of_repeated_ids(spark):
     kept = neardup.without_near_duplicates(documents(spark, rows))
     assert kept.columns == documents(spark, rows).columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 6]
     assert neardup.near_duplicates(documents(spark, [])).count() == 0
+    assert neardup.without_near_duplicates(documents(spark, [])).count() == 0
+    rows = [(7, "x " * 9), (7, "a lone text of an id that has two"), (7, None), (8, None), (9, "")]
+    for parts in (1, 3):
+        kept = neardup.without_near_duplicates(documents(spark, rows, parts)).collect()
+        assert sorted((r.doc_id, r.text or "") for r in kept) == [(7, ""), (8, ""), (9, "")] and all(r.tokens == "clash" for r in kept)
 
 
 def test_estimate():
