@@ -36,6 +36,7 @@ FILTER_BITS = 1 << 23
 DENSE = 16
 BLOCK_DOCS, BLOCK_SHINGLES = 128, 500_000
 PAIRS_PER_GROUP = 64
+SALTS = 64  # into which a frequent key's rows are dealt before they are joined with what is known of it
 
 _random = np.random.Generator(np.random.PCG64(7_001))
 _FACTORS = _random.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,8 +190,10 @@ def _parted(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     And u and parts of the frequent ones."""
     many = pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS_PER_GROUP).cast("int").alias("parts"))
     many = written(many.filter("parts > 1"), "many")
+    salt, salts = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(SALTS)), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = pairs.withColumn("salt", salt.cast("int")).join(many.withColumn("salt", salts), ["u", "salt"], "left")
     part = F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int")
-    return pairs.join(many, "u", "left").select("u", "v", part.alias("part")), many
+    return salted.select("u", "v", part.alias("part")), many
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
