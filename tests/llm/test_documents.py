@@ -236,6 +236,9 @@ def test_estimate():
 
 
 def test_components(spark):
+    edges = [(1000 + k, 5000) for k in range(300)] + [(5000, 4000)] + [(2000, 2001 + k) for k in range(200)]  # hubs with large and small ids
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{1000 + k: 1000 for k in range(1, 300)}, 5000: 1000, 4000: 1000, **{2001 + k: 2000 for k in range(200)}}
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (103, 101), (7, 7), (101, 100)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(1, 31)}, 101: 100, 103: 100}
