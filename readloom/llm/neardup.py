@@ -36,6 +36,7 @@ FILTER_BITS = 1 << 23
 DENSE = 16
 BLOCK_DOCS, BLOCK_SHINGLES = 128, 500_000
 PAIRS_PER_GROUP = 64
+FAMILY_SALTS = 16  # a family has DENSE members at least, so its copied counts are no more rows than they
 SALTS = 64  # into which a frequent key's rows are dealt before they are joined with what is known of it
 
 _random = np.random.Generator(np.random.PCG64(7_001))
@@ -177,7 +178,9 @@ def _family_links(keys: DataFrame, sizes: DataFrame, texts: DataFrame, percent:
     families = families.unionAll(families.select(F.col("root").alias("node"), "root").distinct())
     members = families.withColumnRenamed("node", "rep").join(sizes, "rep")
     counts = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = written(members.join(counts, "root").select(F.col("rep").alias("doc_id"), "root", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block")).distinct(), "families")
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(FAMILY_SALTS)).cast("int"))  # a family may be large
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(FAMILY_SALTS - 1))))
+    members = written(salted.join(counts, ["root", "salt"]).select(F.col("rep").alias("doc_id"), "root", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block")).distinct(), "families")
     found = written(_among(texts, members.select("doc_id")).join(members, "doc_id"), "texts")
     dealt = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
