@@ -12,7 +12,6 @@ import zstandard
 from pyspark.sql import functions as F
 
 from readloom.llm import labelled, line_rules, quality, queries as Q, toxicity
-from readloom.llm.words import mix, words_of
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -160,54 +159,6 @@ def test_gumbel_draws_follow_weights(spark):
     assert len(kept) == 1000 and 400 < sum(i < 1000 for i in kept) < 600
 
 
-def test_draw_frequencies_follow_weights(spark):
-    """Over many seeds: the first drawn is each document as often as its share of the weights, the second by what is left."""
-    weights, seeds = [1, 2, 3, 4], 4000
-    rows = spark.range(seeds).crossJoin(spark.createDataFrame([(i, float(np.log(w))) for i, w in enumerate(weights)], "doc_id long, log_weight double"))
-    keyed = rows.withColumn("key", F.col("log_weight") + quality.gumbel(F.col("doc_id"), F.col("id")))
-    drawn = keyed.groupBy("id").agg(F.slice(F.reverse(F.sort_array(F.collect_list(F.struct("key", "doc_id")))), 1, 2)["doc_id"].alias("d")).collect()
-    first, both = Counter(r.d[0] for r in drawn), Counter(tuple(r.d) for r in drawn)
-    for i, w in enumerate(weights):
-        assert abs(first[i] / seeds - w / 10) < 0.03
-        for j, v in enumerate(weights):
-            if i != j:
-                assert abs(both[i, j] / seeds - w / 10 * v / (10 - w)) < 0.03
-
-
-def test_quality_weights_by_brute_force(spark):
-    """Log weights, keys and verdicts from plain counts of the n-grams' hashes."""
-    rng = random.Random(21)
-    rows = quality_rows(rng, 80)
-    docs = documents(spark, [(i, t) for i, t, _ in rows] + ODD)
-    sample = [(t, y) for _, t, y in rows[:50]]
-    got = {r.doc_id: r for r in quality.resample(docs, sample, k=30).collect()}
-    bits = quality.bucket_bits(0)
-
-    def features(t):
-        w = [int(x) for x in words_of(pa.array([t or ""])).hashes()]
-        b = (t or "").encode()
-        mixed = lambda x: int(mix(np.array([x % 2**64], np.uint64))[0]) >> (64 - bits)
-        return Counter([(0, x >> (64 - bits)) for x in w] + [(1, mixed(y - x)) for x, y in zip(w, w[1:])] + [(2, mixed(x + 256 * y + 65536 * z + 1)) for x, y, z in zip(b, b[1:], b[2:])])
-
-    texts = {i: features(t) for i, t, *_ in [*rows, *ODD]}
-    raw, target = sum(texts.values(), Counter()), Counter()
-    for k, t in enumerate([t for t, y in sample if y]):
-        target += features(t) if k % 4 else Counter()
-    size, n, m = 3 << bits, sum(raw.values()), sum(target.values())
-
-    def ratio(g):
-        p = (raw[g] + 1) / (n + size)
-        return np.log((target[g] + m / 100 * p) / (m + m / 100) / p)
-
-    for i, x in texts.items():
-        assert abs(got[i].log_weight - sum(c * ratio(g) for g, c in x.items())) < 1e-3 * max(1, abs(got[i].log_weight))
-    assert {i for i, r in got.items() if r.kept} == set(sorted(got, key=lambda i: (-got[i].key, i))[:30])
-
-
-def test_buckets_grow_with_the_corpus():
-    assert [quality.bucket_bits(n << 20) for n in (0, 64, 256, 1024, 30 << 10, 100 << 20)] == [14, 14, 15, 16, 19, 25]
-
-
 @pytest.mark.parametrize("keys", [list(range(100)), [1.0] * 100, [0.0] * 60 + [5.0] * 40, [float(k % 7) for k in range(100)]])
 def test_kth_largest(spark, keys, monkeypatch):
     monkeypatch.setattr(quality, "FEW", 5)
